@@ -53,11 +53,13 @@ def pair_samples(
     return left.join(right, [*on, *CELL_KEYS]).select(*on, LAT, LON, *names)
 
 
-def pair_features(features: DataFrame, labels: DataFrame, variables: Sequence[str], label: str) -> DataFrame:
+def pair_features(
+    features: DataFrame, labels: DataFrame, variables: Sequence[str], label: str, on: Sequence[str] = (TIME,)
+) -> DataFrame:
     """Feature rows with the label of the same cell and timestep."""
-    left = with_cell_keys(features).select(TIME, *CELL_KEYS, LAT, LON, *variables)
-    right = with_cell_keys(labels).select(TIME, *CELL_KEYS, F.col(TEMPERATURE).alias(label))
-    return left.join(right, [TIME, *CELL_KEYS]).select(TIME, LAT, LON, *variables, label)
+    left = with_cell_keys(features).select(*on, *CELL_KEYS, LAT, LON, *variables)
+    right = with_cell_keys(labels).select(*on, *CELL_KEYS, F.col(TEMPERATURE).alias(label))
+    return left.join(right, [*on, *CELL_KEYS]).select(*on, LAT, LON, *variables, label)
 
 
 def unpaired_times(lr: DataFrame, hr: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -25,6 +25,8 @@ class GridAxes:
     """Latitude and longitude axes as one small table (dim, idx, coord_key, coord)."""
 
     table: DataFrame
+    _values: dict[str, Column] = field(default_factory=dict, compare=False, repr=False)
+    _summary: dict[str, tuple] = field(default_factory=dict, compare=False, repr=False)
 
     @classmethod
     def of(cls, grid: DataFrame, staged: bool = True, max_points: int = MAX_AXIS_POINTS) -> GridAxes:
@@ -62,22 +64,31 @@ class GridAxes:
 
     def values(self, dim: str) -> Column:
         """All coordinates of a dimension as one ascending array (scalar subquery)."""
-        return (
-            self.table.where(F.col("dim") == dim)
-            .agg(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("idx", "coord"))), lambda s: s["coord"]
-                ).alias("v")
+        if dim not in self._values:
+            ordered = "transform(sort_array(collect_list(struct(idx, coord))), p -> p.coord)"
+            one = self.table.where(F.col("dim") == dim).agg(F.expr(ordered).alias("v"))
+            self._values[dim] = one.scalar()
+        return self._values[dim]
+
+    def summary(self) -> dict[str, tuple[int, float | None, float | None]]:
+        """Length, smallest and largest coordinate per dimension: two rows, read once."""
+        if not self._summary:
+            found = self.table.groupBy("dim").agg(
+                F.count("*").alias("n"), F.min("coord").alias("lo"), F.max("coord").alias("hi")
             )
-            .scalar()
-        )
+            self._summary.update({LAT: (0, None, None), LON: (0, None, None)})
+            self._summary.update({r.dim: (r.n, r.lo, r.hi) for r in found.toLocalIterator()})
+        return self._summary
 
-    def size(self, dim: str) -> Column:
-        return self.table.where(F.col("dim") == dim).agg(F.count("*").cast("int").alias("n")).scalar()
+    def size(self, dim: str) -> int:
+        return self.summary()[dim][0]
 
-    def bound(self, dim: str, side: str) -> Column:
-        pick = {"min": F.min, "max": F.max}[side]
-        return self.table.where(F.col("dim") == dim).agg(pick("coord").alias("b")).scalar()
+    def inside(self) -> Column:
+        """Predicate for rows within the extent: literals, so it reaches the scan."""
+        keep = F.lit(True)
+        for dim, (n, lo, hi) in self.summary().items():
+            keep = keep & (F.col(dim).between(lo, hi) if n else F.lit(False))
+        return keep
 
     def within(self, lon_min: float, lat_min: float, lon_max: float, lat_max: float) -> GridAxes:
         keep = F.when(F.col("dim") == LAT, F.col("coord").between(lat_min, lat_max)).otherwise(
@@ -98,8 +109,7 @@ class GridAxes:
         return GridAxes(_numbered(both.groupBy("dim", "coord_key").agg(F.min("coord").alias("coord"))))
 
     def warn_if_empty(self) -> GridAxes:
-        found = self.table.select("dim").distinct().count()
-        if found < 2:
+        if not all(n for n, _, _ in self.summary().values()):
             warnings.warn("an axis is shorter than the crop factor: the crop is empty", stacklevel=2)
         return self
 

@@ -53,10 +53,10 @@ class CellLines:
     def fit(cls, samples: DataFrame, x: str = TEMPERATURE, y: str = "label") -> CellLines:
         return cls(stage(cell_regression(samples, x, y), "cell_lines"), x)
 
-    def predict(self, features: DataFrame, output: str = TEMPERATURE) -> DataFrame:
+    def predict(self, features: DataFrame, output: str = TEMPERATURE, keep: Sequence[str] = ()) -> DataFrame:
         lines = keyed(self.table, F.col("slope").alias("_slope"), F.col("intercept").alias("_intercept"))
         joined = join_cells(features, lines, self.table.count(), "inner")
-        return joined.select(TIME, LAT, LON, (F.col("_slope") * F.col(self.x) + F.col("_intercept")).alias(output))
+        return joined.select(TIME, LAT, LON, *keep, (F.col("_slope") * F.col(self.x) + F.col("_intercept")).alias(output))
 
 
 @dataclass(frozen=True)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.operators.axes import GridAxes, axis_positions
 from gridloom.schema import LAT, LON, TEMPERATURE, TIME
+from gridloom.session import clustered
 
 Kernel = Sequence[Sequence[float]]
 
@@ -33,7 +34,7 @@ def block_pool(
     axes = axes or GridAxes.of(grid)
     y, x = (F.floor(F.col(c) / size).cast("int") for c in ("lat_idx", "lon_idx"))
     blocks = axis_positions(grid, axes).select(TIME, y.alias("block_y"), x.alias("block_x"), variable)
-    whole = (F.col("block_y") < F.floor(axes.size(LAT) / size)) & (F.col("block_x") < F.floor(axes.size(LON) / size))
+    whole = (F.col("block_y") < axes.size(LAT) // size) & (F.col("block_x") < axes.size(LON) // size)
     return blocks.where(whole).groupBy(TIME, "block_y", "block_x").agg(POOLS[how](variable).alias(variable))
 
 
@@ -49,7 +50,7 @@ def _scatter(
     band = lambda c: F.floor(c / BAND_ROWS).cast("int")
     reach = [stride * F.col("y") + dy for dy in (min(t[0] for t in taps), 0, max(t[0] for t in taps))]
     rows = cells.withColumn("_band", F.explode(F.array_distinct(F.array(*map(band, reach)))))
-    rows = rows.repartition(TIME, "_band")
+    rows = clustered(rows, TIME, "_band")
     weights = F.array(
         *[
             F.struct(

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridloom.functions import linear_between
 from gridloom.operators.axes import GridAxes
 from gridloom.schema import LAT, LON, TIME, assert_grid, coord_key
+from gridloom.session import clustered
 
 METHODS = ("linear", "nearest", "none")
 
@@ -35,39 +36,26 @@ def _unique(points: DataFrame, keys: list[str], on_grid: Column) -> DataFrame:
     return merged.withColumn("_v", F.when(on_grid & (F.col("_n") > 1), clash).otherwise(F.col("_v"))).drop("_n")
 
 
-def _runs(known: Column, size: Column) -> Column:
-    """Runs of target positions with the two known points that value them.
-
-    The first and last run reach the ends of the axis.  A lane with fewer than two known points
-    becomes one run over the whole axis that keeps the single point, if there is one.
-    """
-
-    def run(lo, hi, left, right):
-        return F.struct(
-            lo.cast("int").alias("lo"),
-            hi.cast("int").alias("hi"),
-            left["p"].alias("p0"),
-            left["y"].alias("y0"),
-            right["p"].alias("p1"),
-            right["y"].alias("y1"),
-        )
-
-    n = F.size(known)
-    spans = F.transform(
-        F.sequence(F.lit(0), n - 2),
-        lambda i: run(
-            F.when(i == 0, F.lit(0)).otherwise(F.get(known, i)["p"]),
-            F.when(i == n - 2, size - 1).otherwise(F.get(known, i + 1)["p"] - 1),
-            F.get(known, i),
-            F.get(known, i + 1),
-        ),
-    )
-    whole = F.array(run(F.lit(0), size - 1, F.get(known, F.lit(0)), F.get(known, F.lit(1))))
-    return F.when(n >= 2, spans).otherwise(whole)
-
-
-def _valued(axis: Column, method: str) -> Column:
-    p, p0, p1, y0, y1 = (F.col(c) for c in ("_p", "p0", "p1", "y0", "y1"))
+# Runs of target positions with the two known points that value them.  The first and the last
+# run reach the ends of the axis.  A lane with fewer than two known points becomes one run over
+# the whole axis that keeps the single point, if there is one.
+_RUNS = """
+CASE WHEN size(_known) >= 2 THEN
+  transform(sequence(0, size(_known) - 2), i -> named_struct(
+    'lo', if(i = 0, 0, get(_known, i).p),
+    'hi', if(i = size(_known) - 2, _size - 1, get(_known, i + 1).p - 1),
+    'p0', get(_known, i).p, 'y0', get(_known, i).y,
+    'p1', get(_known, i + 1).p, 'y1', get(_known, i + 1).y))
+ELSE
+  array(named_struct(
+    'lo', 0, 'hi', _size - 1,
+    'p0', get(_known, 0).p, 'y0', get(_known, 0).y,
+    'p1', get(_known, 1).p, 'y1', get(_known, 1).y))
+END"""
+
+
+def _valued(axis: Column, pos: str, method: str) -> Column:
+    p, p0, p1, y0, y1 = (F.col(c) for c in (pos, "p0", "p1", "y0", "y1"))
     exact = F.when(p == p0, y0).when(p == p1, y1)
     if method == "none":
         return exact
@@ -81,13 +69,11 @@ def _valued(axis: Column, method: str) -> Column:
 
 def _fill_lanes(points: DataFrame, lane: list[str], pos: str, axes: GridAxes, dim: str, method: str) -> DataFrame:
     """Spread the known points of every lane over all positions of the ``dim`` axis."""
-    usable = F.col(pos).isNotNull() & F.col("_v").isNotNull()
-    point = F.struct(F.col(pos).alias("p"), F.col("_v").alias("y"))
-    known = F.sort_array(F.collect_list(F.when(usable, point)))
-    lanes = points.groupBy(*lane).agg(known.alias("_known")).withColumn("_size", axes.size(dim))
-    runs = lanes.select(*lane, F.inline(_runs(F.col("_known"), F.col("_size"))))
-    cells = runs.select("*", F.explode(F.sequence("lo", "hi")).alias("_p"))
-    return cells.select(*lane, F.col("_p").alias(pos), _valued(axes.values(dim), method).alias("_v"))
+    point = f"if({pos} IS NOT NULL AND _v IS NOT NULL, named_struct('p', {pos}, 'y', _v), NULL)"
+    lanes = points.groupBy(*lane).agg(F.expr(f"sort_array(collect_list({point}))").alias("_known"))
+    runs = lanes.withColumn("_size", F.lit(axes.size(dim))).select(*lane, F.expr(f"inline({_RUNS})"))
+    cells = runs.select("*", F.expr(f"explode(sequence(lo, hi)) AS {pos}"))
+    return cells.select(*lane, pos, _valued(axes.values(dim), pos, method).alias("_v"))
 
 
 def _coordinates(cells: DataFrame, axes: GridAxes, *positions: tuple[str, str]) -> DataFrame:
@@ -114,6 +100,8 @@ def _onto(grid: DataFrame, axes: GridAxes, variables: Sequence[str], method: str
         raise ValueError(f"unsupported interpolation method {method!r}; use one of {METHODS}")
     if cluster not in ("time", "lane"):
         raise ValueError("cluster must be 'time' or 'lane'")
+    if not (axes.size(LAT) and axes.size(LON)):
+        return grid.select(TIME, LAT, LON, *variables).limit(0)
     melted, var = _melt(grid.select(TIME, LAT, LON, *variables), variables)
     placed = _position(_position(melted, axes, LAT, "_iy"), axes, LON, "_ix")
     # Points off the target axes carry no value; they collapse into one marker per timestep,
@@ -130,8 +118,10 @@ def _onto(grid: DataFrame, axes: GridAxes, variables: Sequence[str], method: str
     if cluster == "time":
         # Both passes group by keys that contain time: one shuffle of the coarse points serves
         # both, and the fine cells are produced where their timestep already is.
-        points = points.repartition(TIME)
-    rows = _fill_lanes(points, [TIME, *var, "_iy"], "_ix", axes, LON, method)
+        rows = _fill_lanes(clustered(points, TIME), [TIME, *var, "_iy"], "_ix", axes, LON, method)
+    else:
+        rows = _fill_lanes(clustered(points, TIME, "_iy"), [TIME, *var, "_iy"], "_ix", axes, LON, method)
+        rows = clustered(rows, TIME, "_ix")
     cells = _fill_lanes(rows, [TIME, *var, "_ix"], "_iy", axes, LAT, method)
     return _unmelt(_coordinates(cells, axes, (LAT, "_iy"), (LON, "_ix")), variables)
 

@@ -50,18 +50,19 @@ def crop_to_region(grid: DataFrame, region: Region | Sequence[float] | None) ->
 
 
 def crop_to_axes(grid: DataFrame, axes: GridAxes) -> DataFrame:
-    """Rows inside the extent of ``axes``; the bounds arrive as scalar subqueries."""
-    inside = [F.col(d).between(axes.bound(d, "min"), axes.bound(d, "max")) for d in (LAT, LON)]
-    return grid.where(inside[0] & inside[1])
+    """Rows inside the extent of ``axes``."""
+    return grid.where(axes.inside())
 
 
 def cropped_axes(
     grid: DataFrame, region: Region | Sequence[float] | None = None, divisible_factor: int = 32
 ) -> GridAxes:
-    """Axes left after the region crop and the symmetric crop to a divisible size."""
-    box = Region.of(region)
-    axes = GridAxes.of(crop_to_region(grid, box)).divisible(divisible_factor).stage()
-    return axes.warn_if_empty()
+    """Axes left after the region crop and the symmetric crop to a divisible size.
+
+    One pass over the coordinates of the region; a crop that leaves nothing warns.
+    """
+    found = GridAxes.of(crop_to_region(grid, region), staged=False)
+    return found.divisible(divisible_factor).stage().warn_if_empty()
 
 
 def crop_spatial(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,41 +25,43 @@ def held_out(n: int, size: float | int) -> int:
     return k
 
 
+def _at(time: datetime) -> Column:
+    return F.lit(time.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 @dataclass(frozen=True)
 class SplitCuts:
     """First validation and first test timestep.
 
-    A split is then a range of time, so labelling needs no join and a filter on one split is a
-    range predicate on the time column that reaches the scan.
+    A split is then a range of time between two literals, so labelling needs no join and a
+    filter on one split is a range predicate on the time column that reaches the scan.
     """
 
     n_times: int
-    first_val: Column
-    first_test: Column
+    first_val: datetime
+    first_test: datetime
 
     @classmethod
     def of(cls, grid: DataFrame, test_size: float | int = TEST_SIZE) -> SplitCuts:
-        axis = stage(time_axis(grid), "time_axis")
-        n = axis.count()
+        times = stage(grid.select(TIME).distinct(), "times")
+        n = times.count()
         n_test = held_out(n, test_size)
         n_val = held_out(n - n_test, test_size)
-
-        def start(at: int) -> Column:
-            return axis.where(F.col("time_idx") == at).agg(F.min(TIME).alias("t")).scalar()
-
-        return cls(n, start(n - n_test - n_val), start(n - n_test))
+        starts = [n - n_test - n_val, n - n_test]
+        picked = time_axis(times, staged=False).where(F.col("time_idx").isin(*starts))
+        val, test = sorted(r.time for r in picked.toLocalIterator())
+        return cls(n, val, test)
 
     def label(self) -> Column:
         t = F.col(TIME)
-        return F.when(t < self.first_val, "train").when(t < self.first_test, "val").otherwise("test")
+        return F.when(t < _at(self.first_val), "train").when(t < _at(self.first_test), "val").otherwise("test")
 
     def where(self, split: str) -> Column:
         t = F.col(TIME)
         if split not in SPLITS:
             raise ValueError(f"split must be one of {SPLITS}")
-        if split == "train":
-            return t < self.first_val
-        return (t >= self.first_val) & (t < self.first_test) if split == "val" else t >= self.first_test
+        val, test = _at(self.first_val), _at(self.first_test)
+        return {"train": t < val, "val": (t >= val) & (t < test), "test": t >= test}[split]
 
 
 def label_splits(grid: DataFrame, test_size: float | int = TEST_SIZE, cuts: SplitCuts | None = None) -> DataFrame:

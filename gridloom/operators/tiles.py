@@ -23,11 +23,9 @@ def to_tiles(grid: DataFrame, variables: Sequence[str], axes: GridAxes | None =
     on the axes before any cell moves.
     """
     axes = axes or GridAxes.of(grid)
-    fits = F.when(
-        axes.size(LAT).cast("bigint") * axes.size(LON) > MAX_TILE_CELLS,
-        F.raise_error(F.lit(f"tile has more than {MAX_TILE_CELLS} cells")).cast("boolean"),
-    ).otherwise(F.lit(True))
-    cells = densify(grid.where(fits), variables, axes)
+    if axes.size(LAT) * axes.size(LON) > MAX_TILE_CELLS:
+        raise ValueError(f"a tile would have more than {MAX_TILE_CELLS} cells; keep them as rows")
+    cells = densify(grid, variables, axes)
     names = list(variables)
     rows = cells.groupBy(TIME, LAT).agg(F.sort_array(F.collect_list(F.struct(LON, *names))).alias("_row"))
     tiles = rows.groupBy(TIME).agg(
@@ -46,7 +44,7 @@ def from_tiles(tiles: DataFrame, axes: GridAxes, variable: str = TEMPERATURE) ->
     cells = rows.select(TIME, "_r", F.posexplode("_row").alias("_c", variable))
     return cells.select(
         TIME,
-        F.get(axes.values(LAT), axes.size(LAT) - 1 - F.col("_r")).alias(LAT),
+        F.get(axes.values(LAT), F.lit(axes.size(LAT) - 1) - F.col("_r")).alias(LAT),
         F.get(axes.values(LON), F.col("_c")).alias(LON),
         variable,
     )

@@ -11,14 +11,12 @@ from gridloom.operators.align import pair_features, pair_samples, unpaired_times
 from gridloom.operators.evaluate import difference_map, histogram, losses, metrics, spatial_comparison
 from gridloom.operators.model import CellLines
 from gridloom.operators.normalize import Stats, scaler
-from gridloom.operators.split import SPLITS, TEST_SIZE, SplitCuts
+from gridloom.operators.split import TEST_SIZE, SplitCuts
 from gridloom.plans.preprocess import preprocess
-from gridloom.schema import DEFAULT_REGION, LR_STATIC, TEMPERATURE, TIME, Region
+from gridloom.schema import DEFAULT_REGION, TEMPERATURE, TIME, Region
 from gridloom.session import stage
 from gridloom.sources.runs import run_records, save_runs
 
-FEATURES = [TEMPERATURE, *LR_STATIC]
-
 
 @dataclass(frozen=True)
 class Evaluation:
@@ -74,22 +72,20 @@ def train_and_evaluate(
 ) -> Experiment:
     """Fit on the training split, score the test split.
 
-    ``lr`` and ``hr`` are normalised and carry a ``split`` column.
+    ``lr`` and ``hr`` are normalised and carry a ``split`` column.  The paired samples are the
+    one large join; they are staged and serve the fit and the losses.
     """
-    paired = hr.select("split", TIME, "latitude", "longitude", F.col(TEMPERATURE).alias("label"))
-    train = pair_features(lr.where("split = 'train'"), hr.where("split = 'train'"), FEATURES, "label")
-    model = CellLines.fit(train)
-
-    fitted = model.predict(lr.where("split <> 'test'"))
-    fitted = pair_samples(paired.where("split <> 'test'").withColumnRenamed("label", TEMPERATURE), fitted)
-    boundary = hr.where("split = 'val'").agg(F.min(TIME).alias("t")).scalar()
-    by_split = fitted.withColumn("split", F.when(F.col(TIME) < boundary, "train").otherwise("val"))
+    samples = stage(pair_features(lr, hr, [TEMPERATURE], "label", on=("split", TIME)), "samples")
+    model = CellLines.fit(samples.where("split = 'train'"))
+
+    # Losses on the normalised values the model was fitted on, train and validation in one pass.
+    fitted = model.predict(samples.where("split <> 'test'"), "y_pred", keep=["split", "label"])
+    known = fitted.withColumnRenamed("label", "y_true").where("y_true IS NOT NULL AND y_pred IS NOT NULL")
+    loss = stage(losses(known, ["split"]), "losses")
     loss_name = setup.get("loss_type") or "mae"
-    loss = stage(losses(by_split.where("y_pred is not null"), ["split"]), "losses")
 
     def loss_of(split: str):
-        value = loss.where(F.col("split") == split).agg(F.max(loss_name).alias("l")).scalar()
-        return F.array(value)
+        return F.array(loss.where(F.col("split") == split).agg(F.max(loss_name).alias("l")).scalar())
 
     prediction = stage(predict(model, lr.where("split = 'test'"), stats, kind, stats_resolution), "prediction")
     truth = scaler(kind).inverse(stats, hr.where("split = 'test'").drop("split"), TEMPERATURE, "hr")
@@ -152,6 +148,3 @@ def run_experiment(
         result_path,
         on_missing,
     )
-
-
-__all__ = ["SPLITS", "Evaluation", "Experiment", "evaluate", "predict", "run_experiment", "train_and_evaluate"]

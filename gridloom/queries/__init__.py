@@ -1,5 +1,6 @@
 from gridloom.queries import (  # noqa: F401  (importing registers the queries)
     alignment,
+    daily,
     evaluation,
     experiments,
     modelling,

@@ -96,13 +96,13 @@ def global_huber_model(spark, sf):
 @query(
     "tile_scorer",
     with_ctes(
-        f"""SELECT time, latitude, longitude, {r6('t2m - avg(t2m) OVER (PARTITION BY time)')} AS t2m FROM hr_noon""",
+        f"""SELECT time, latitude, longitude, {r6('t2m - max(t2m) OVER (PARTITION BY time)')} AS t2m FROM hr_noon""",
         "hr_noon",
     ),
 )
 def tile_scorer(spark, sf):
-    """A spatial scorer: departure of every cell from the mean of its timestep."""
-    return score_tiles(at_times(tb.grid_hr(spark, sf)), lambda tile: tile["t2m"] - tile["t2m"].mean(), ["t2m"])
+    """A spatial scorer: departure of every cell from the warmest one of its timestep."""
+    return score_tiles(at_times(tb.grid_hr(spark, sf)), lambda tile: tile["t2m"] - tile["t2m"].max(), ["t2m"])
 
 
 @query(

@@ -77,6 +77,8 @@ GRIDS = {
     "grid_lr": _lineitem(_QUARTER, "0.20", 3),
     "static_hr": _part("0.05", 12, "sum(CAST(p_size AS DOUBLE))/count(*) AS orog"),
     "static_lr": _part("0.20", 3, "9.80665e0*sum(CAST(p_size AS DOUBLE))/count(*) AS z"),
+    "daily_hr": _lineitem("date_trunc('day', l_shipdate) + INTERVAL '12' HOUR", "0.05", 32),
+    "daily_lr": _lineitem("date_trunc('day', l_shipdate) + INTERVAL '12' HOUR", "0.25", 7),
     "grid_lr_gap": """SELECT time, latitude, longitude,
        CASE WHEN latitude = 44.2e0 AND longitude = 8.2e0 AND extract(month FROM time) IN (1, 7)
             THEN NULL ELSE t2m END AS t2m FROM grid_lr""",

@@ -60,6 +60,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clustered(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by ``keys`` into exactly spark.sql.shuffle.partitions parts.
+
+    For small inputs that grow in the same stage (exploded into many cells): AQE would merge
+    the parts by their size before the growth and leave too few tasks for it.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS_DEFAULT)))
 

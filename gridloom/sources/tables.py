@@ -52,14 +52,16 @@ def grid_lr_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_lr(spark, sf_dir).withColumn("t2m", F.when(~centre, F.col("t2m")))
 
 
-def grid_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
-    noon = _start_of("day") + F.make_dt_interval(hours=F.lit(12))
-    return _lineitem_grid(spark, sf_dir, noon, 0.05, 32)
+def _daily_noon() -> Column:
+    return _start_of("day") + F.make_dt_interval(hours=F.lit(12))
 
 
-def bench_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    noon = _start_of("day") + F.make_dt_interval(hours=F.lit(12))
-    return _lineitem_grid(spark, sf_dir, noon, 0.25, 7)
+def daily_hr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lineitem_grid(spark, sf_dir, _daily_noon(), 0.05, 32)
+
+
+def daily_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lineitem_grid(spark, sf_dir, _daily_noon(), 0.25, 7)
 
 
 def _part_grid(spark: SparkSession, sf_dir: str, step: float, n: int, **values: Column) -> DataFrame:
