@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridloom.operators.select import first_time
 from gridloom.schema import CELL_KEYS, LAT, LON, TEMPERATURE, TIME, assert_grid, with_cell_keys
-from gridloom.session import broadcast_if_small, stage
+from gridloom.session import broadcast_if_small
 
 
 def keyed(grid: DataFrame, *columns: str) -> DataFrame:
@@ -26,12 +26,11 @@ def combine_static(
 ) -> DataFrame:
     """Repeat the first timestep of static fields at every timestep of the grid.
 
-    The per-cell table is staged and counted, so that it is broadcast only while it is small.
+    The per-cell table is counted first, so that it is broadcast only while it is small.
     ``strict`` raises where a grid cell has no static value.
     """
     assert_grid(static, variables)
     cells = keyed(first_time(static), *variables, F.lit(True).alias("_hit"))
-    cells = stage(cells, "static")
     joined = join_cells(grid, cells, cells.count(), "left")
     if strict:
         missing = F.raise_error(F.lit("static fields do not cover every cell of the grid"))

@@ -79,7 +79,8 @@ def spatial_comparison(truth: DataFrame, prediction: DataFrame, variable: str =
     ]
     joined = means[0].join(means[1].drop(LAT, LON), CELL_KEYS).drop(*CELL_KEYS)
     box = bounding_box(truth)
-    return joined.withColumns({c: box.select(c).scalar() for c in box.columns})
+    extent = box.select(F.struct("*").alias("extent")).scalar()
+    return joined.withColumns({c: extent[c] for c in box.columns})
 
 
 def difference_map(
@@ -103,11 +104,13 @@ def histogram(data: DataFrame, series: dict[str, str], bins: int = HISTOGRAM_BIN
     widened by half a unit on both sides.  Two column scans, one shuffle of bin counts.
     """
     limits = data.agg(
-        *[f(c).cast("double").alias(f"{n}_{c}") for c in series.values() for n, f in (("lo", F.min), ("hi", F.max))]
-    )
+        F.struct(
+            *[f(c).cast("double").alias(f"{n}_{s}") for s, c in series.items() for n, f in (("lo", F.min), ("hi", F.max))]
+        ).alias("limits")
+    ).scalar()
     edges = {}
-    for label, column in series.items():
-        lo, hi = (limits.select(f"{n}_{column}").scalar() for n in ("lo", "hi"))
+    for label in series:
+        lo, hi = limits[f"lo_{label}"], limits[f"hi_{label}"]
         flat = lo == hi
         edges[label] = (F.when(flat, lo - 0.5).otherwise(lo), F.when(flat, hi + 0.5).otherwise(hi))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.functions import anomaly, inverse_anomaly, inverse_min_max, min_max
 from gridloom.operators.align import join_cells, keyed
@@ -80,9 +80,11 @@ class Stats:
         side = keyed(self.cells.where(F.col("data_name") == name), F.col("mu").alias("_mu"), F.col("sigma").alias("_sigma"))
         return side, side.count()
 
-    def scalar(self, name: str, stat: str):
+    def scalar(self, name: str) -> Column:
+        """Struct of mu, sigma, xmin and xmax (scalar subquery on the small table)."""
         self.require(name)
-        return self.scalars.where(F.col("data_name") == name).agg(F.max(stat).alias(stat)).scalar()
+        row = F.struct(*[F.max(c).alias(c) for c in ("mu", "sigma", "xmin", "xmax")])
+        return self.scalars.where(F.col("data_name") == name).agg(row.alias("row")).scalar()
 
     def save(self, path: str) -> None:
         self.cells.write.mode("overwrite").parquet(f"{path}/cells")
@@ -121,16 +123,15 @@ class AnomalyScaler:
         return self._per_cell(stats, grid, f"{resolution}_{TEMPERATURE}", anomaly)
 
     def apply_features(self, stats: Stats, data: DataFrame, variables: Sequence[str], prefix: str = "lr_") -> DataFrame:
-        return data.withColumns(
-            {v: anomaly(v, stats.scalar(prefix + v, "mu"), stats.scalar(prefix + v, "sigma")) for v in variables}
-        )
+        fitted = {v: stats.scalar(prefix + v) for v in variables}
+        return data.withColumns({v: anomaly(v, s["mu"], s["sigma"]) for v, s in fitted.items()})
 
     def inverse(self, stats: Stats, grid: DataFrame, variable: str, resolution: str) -> DataFrame:
         name = f"{resolution}_{variable}"
         if variable == TEMPERATURE:
             return self._per_cell(stats, grid, name, inverse_anomaly)
-        restored = inverse_anomaly(variable, stats.scalar(name, "mu"), stats.scalar(name, "sigma"))
-        return grid.withColumn(variable, restored)
+        fitted = stats.scalar(name)
+        return grid.withColumn(variable, inverse_anomaly(variable, fitted["mu"], fitted["sigma"]))
 
     @staticmethod
     def _per_cell(stats: Stats, grid: DataFrame, name: str, fn) -> DataFrame:
@@ -156,15 +157,14 @@ class MinMaxScaler:
         return self.apply_features(stats, grid, [TEMPERATURE], f"{resolution}_")
 
     def apply_features(self, stats: Stats, data: DataFrame, variables: Sequence[str], prefix: str = "lr_") -> DataFrame:
-        return data.withColumns(
-            {v: min_max(v, stats.scalar(prefix + v, "xmin"), stats.scalar(prefix + v, "xmax")) for v in variables}
-        )
+        fitted = {v: stats.scalar(prefix + v) for v in variables}
+        return data.withColumns({v: min_max(v, s["xmin"], s["xmax"]) for v, s in fitted.items()})
 
     def inverse(self, stats: Stats, grid: DataFrame, variable: str, resolution: str) -> DataFrame:
         # Orography shares the statistics of the coarse geopotential field.
         name = f"{resolution}_{'z' if variable == 'orog' else variable}"
-        restored = inverse_min_max(variable, stats.scalar(name, "xmin"), stats.scalar(name, "xmax"))
-        return grid.withColumn(variable, restored)
+        fitted = stats.scalar(name)
+        return grid.withColumn(variable, inverse_min_max(variable, fitted["xmin"], fitted["xmax"]))
 
 
 SCALERS = {s.kind: s for s in (AnomalyScaler, MinMaxScaler)}

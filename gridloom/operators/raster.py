@@ -127,9 +127,8 @@ def join_channels(left: DataFrame, right: DataFrame, keys: Sequence[str] = (TIME
 
 def batch_norm(grid: DataFrame, variable: str = TEMPERATURE, epsilon: float = NORM_EPSILON) -> DataFrame:
     """Standardise a channel over all cells and times, without learned scale."""
-    moments = grid.agg(F.avg(variable).alias("m"), F.var_pop(variable).alias("v"))
-    mean, var = (moments.select(c).scalar() for c in ("m", "v"))
-    return grid.withColumn(variable, (F.col(variable) - mean) / F.sqrt(var + epsilon))
+    moments = grid.agg(F.struct(F.avg(variable).alias("mean"), F.var_pop(variable).alias("var")).alias("m")).scalar()
+    return grid.withColumn(variable, (F.col(variable) - moments["mean"]) / F.sqrt(moments["var"] + epsilon))
 
 
 def activate(grid: DataFrame, variable: str = TEMPERATURE, activation: str = "tanh") -> DataFrame:

@@ -49,7 +49,8 @@ def predict(
 
 
 def evaluate(truth: DataFrame, prediction: DataFrame, on_missing: str = "error") -> Evaluation:
-    pair = pair_samples(truth, prediction)
+    """Scores and tables; the pairing join is staged, as metrics and histogram both read it."""
+    pair = stage(pair_samples(truth, prediction), "pair")
     return Evaluation(
         metrics=metrics(pair, on_missing=on_missing),
         spatial=spatial_comparison(truth, prediction),
@@ -81,17 +82,16 @@ def train_and_evaluate(
     # Losses on the normalised values the model was fitted on, train and validation in one pass.
     fitted = model.predict(samples.where("split <> 'test'"), "y_pred", keep=["split", "label"])
     known = fitted.withColumnRenamed("label", "y_true").where("y_true IS NOT NULL AND y_pred IS NOT NULL")
-    loss = stage(losses(known, ["split"]), "losses")
     loss_name = setup.get("loss_type") or "mae"
-
-    def loss_of(split: str):
-        return F.array(loss.where(F.col("split") == split).agg(F.max(loss_name).alias("l")).scalar())
+    by_split = losses(known, ["split"])
+    both = [F.max(F.when(F.col("split") == s, F.col(loss_name))).alias(s) for s in ("train", "val")]
+    loss = by_split.agg(F.struct(*both).alias("loss")).scalar()
 
     prediction = stage(predict(model, lr.where("split = 'test'"), stats, kind, stats_resolution), "prediction")
     truth = scaler(kind).inverse(stats, hr.where("split = 'test'").drop("split"), TEMPERATURE, "hr")
     evaluation = evaluate(truth, prediction, on_missing)
     setup = {"normalization_type": kind, **setup}
-    run = run_records(evaluation.metrics, F.lit(run_id), setup, loss_of("train"), loss_of("val"))
+    run = run_records(evaluation.metrics, F.lit(run_id), setup, F.array(loss["train"]), F.array(loss["val"]))
     if result_path is not None:
         save_runs(run, result_path)
     return Experiment(stats, model, prediction, evaluation, run, unpaired_times(lr, hr))

@@ -13,6 +13,7 @@ from gridloom.operators.normalize import Stats, scaler
 from gridloom.operators.regrid import regrid
 from gridloom.operators.select import at_times, crop_to_axes, crop_to_region, cropped_axes
 from gridloom.schema import DEFAULT_REGION, LR_STATIC, TEMPERATURE, Region
+from gridloom.session import stage
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,8 @@ def align(
     return Aligned(
         lr=regrid(lr, axes, [TEMPERATURE]),
         hr=crop_to_axes(crop_to_region(hr, region), axes),
-        lr_static=regrid(lr_static, static_axes, LR_STATIC, cluster="lane"),
+        # One row per cell, read by the fit and by the join: worth writing once.
+        lr_static=stage(regrid(lr_static, static_axes, LR_STATIC, cluster="lane"), "static"),
         axes=axes,
     )
 
