@@ -56,13 +56,27 @@ def tile_cells(tiles: DataFrame, variable: str = TEMPERATURE) -> DataFrame:
     return rows.select(TIME, "row", F.posexplode("_row").alias("col", "value"))
 
 
+def _bounded(samples: DataFrame, max_cells: int) -> DataFrame:
+    """Refuse timesteps too large for one worker, before any of them is gathered.
+
+    Counted with partial aggregation in a pass over the time column alone.
+    """
+    largest = samples.groupBy(TIME).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).scalar()
+    refuse = F.raise_error(F.lit(f"a timestep has more than {max_cells} cells")).cast("boolean")
+    return samples.where(F.when(largest > max_cells, refuse).otherwise(F.lit(True)))
+
+
 def score_tiles(
-    samples: DataFrame, score: Callable[[pd.DataFrame], pd.Series], variables: Sequence[str], output: str = TEMPERATURE
+    samples: DataFrame,
+    score: Callable[[pd.DataFrame], pd.Series],
+    variables: Sequence[str],
+    output: str = TEMPERATURE,
+    max_cells: int = MAX_TILE_CELLS,
 ) -> DataFrame:
     """Apply a spatial scorer to every timestep.
 
     ``score`` gets all cells of one timestep, north-up, as a pandas frame and returns one value
-    per row.  One timestep is at most one grid, so a group never outgrows a worker.
+    per row.  A timestep with more than ``max_cells`` rows is an error.
     """
     schema = T.StructType(
         [
@@ -77,7 +91,8 @@ def score_tiles(
         tile = tile.sort_values([LAT, LON], ascending=[False, True], ignore_index=True)
         return tile[[TIME, LAT, LON]].assign(**{output: score(tile)})
 
-    return samples.select(TIME, LAT, LON, *variables).groupBy(TIME).applyInPandas(one, schema)
+    cells = _bounded(samples.select(TIME, LAT, LON, *variables), max_cells)
+    return cells.groupBy(TIME).applyInPandas(one, schema)
 
 
 def score_rows(

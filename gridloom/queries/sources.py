@@ -17,7 +17,7 @@ def _month_dirs(spark, grid) -> tuple[str, list[str]]:
     """Write one directory per calendar month; the month list is as short as the archive."""
     root = scratch_path(spark, "months")
     months = grid.withColumn("yyyymm", F.date_format("time", "yyyyMM"))
-    months.write.partitionBy("yyyymm").parquet(root)
+    months.hint("rebalance", "yyyymm").write.partitionBy("yyyymm").parquet(root)
     listed = spark.read.parquet(root).select("yyyymm").distinct()
     return root, sorted(f"{root}/yyyymm={r.yyyymm}" for r in listed.toLocalIterator())
 

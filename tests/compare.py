@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 
@@ -48,6 +49,20 @@ def differences(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | Non
     if kinds:
         return f"column kinds differ: {kinds}"
     a, b = rows(spark_frame), rows(sql_frame)
-    if a == b:
+    if a == b or close(spark_frame, sql_frame):
         return None
     return f"{len(spark_frame)} vs {len(sql_frame)} rows; only Spark {list((a - b))[:3]}; only SQL {list((b - a))[:3]}"
+
+
+def close(a: pd.DataFrame, b: pd.DataFrame, tolerance: float = 1.5e-6) -> bool:
+    """Equal keys, and floats apart by no more than the last rounded digit."""
+    if len(a) != len(b):
+        return False
+    floats = [c for c in a.columns if a[c].dtype.kind == "f"]
+    keys = sorted(c for c in a.columns if c not in floats)
+    order = keys + [c for c in ("latitude", "longitude") if c in floats]
+    if not order or any(isinstance(v, list | np.ndarray) for c in keys for v in a[c].head(1)):
+        return False
+    a, b = (f.sort_values(order, ignore_index=True)[sorted(a.columns)] for f in (a, b))
+    same_keys = all((a[c].astype(str) == b[c].astype(str)).all() for c in keys)
+    return same_keys and all(np.allclose(a[c], b[c], rtol=0, atol=tolerance, equal_nan=True) for c in floats)
