@@ -103,10 +103,17 @@ def test_time_of_day_prunes_directories(spark, fine):
     assert noon.count() == at_times(fine).count()
 
 
-def test_pairing_reuses_the_time_clustering(fine, coarse, axes):
-    text = main_part(plan(pair_samples(fine, regrid(coarse, axes, ["t2m"]))))
-    # Two for regridding, one for the fine side; the regridded cells stay where they are.
-    assert len(exchanges(text)) == 3
+def test_pairing_reuses_the_time_clustering(spark, fine, coarse, axes):
+    # Sizes as on a cluster: neither side is small enough to broadcast.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = main_part(plan(pair_samples(fine, regrid(coarse, axes, ["t2m"]))))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in text
+    # Between the join and the regridded cells there is a sort, but no further shuffle.
+    assert len(exchanges(text)) == 2
+    assert text.index("Generate") < text.index("Exchange hashpartitioning")
 
 
 def test_global_statistics_are_one_aggregate(spark, sf_dir):
