@@ -51,7 +51,8 @@ def align(
     axes = cropped_axes(hr, region, divisible_factor)
     static_axes = cropped_axes(hr_static, region, divisible_factor)
     return Aligned(
-        lr=regrid(lr, axes, [TEMPERATURE]),
+        # Read by the fit, the transform and the prediction: written once, not regridded thrice.
+        lr=stage(regrid(lr, axes, [TEMPERATURE]), "regridded"),
         hr=crop_to_axes(crop_to_region(hr, region), axes),
         # One row per cell, read by the fit and by the join: worth writing once.
         lr_static=stage(regrid(lr_static, static_axes, LR_STATIC, cluster="lane"), "static"),

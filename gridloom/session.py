@@ -20,6 +20,8 @@ RECOMMENDED = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Lanes are short lists; gather a few thousand per task in memory before sorting instead.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+    # Recording the Python call site of every column costs more than building the plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
