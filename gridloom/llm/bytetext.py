@@ -61,10 +61,10 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a slice: start, length, row, and 64-bit hash of the bytes."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = True, space: np.ndarray = SPACE):
         self.data = LOWER[data] if lower else data
         self.at = at
-        inside = ~SPACE[data]
+        inside = ~space[data]
         firsts = at[:-1][at[:-1] < at[1:]]
         begin = inside.copy()
         begin[1:] &= ~inside[:-1]
@@ -87,12 +87,27 @@ class Words:
             self._place = np.arange(len(self._inside)) - np.repeat(head, self.length)
         return self._place
 
+    def _terms(self) -> np.ndarray:
+        return BYTE_VALUE[self.data[self._inside]] * powers(int(self.length.max()))[self.place]
+
     def hashes(self) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, _U)
         head = np.cumsum(self.length) - self.length
-        terms = BYTE_VALUE[self.data[self._inside]] * powers(int(self.length.max()))[self.place]
-        return mix(np.add.reduceat(terms, head) + self.length.astype(_U) * _STEP)
+        return mix(np.add.reduceat(self._terms(), head) + self.length.astype(_U) * _STEP)
+
+    def prefixes(self, lengths: range) -> np.ndarray:
+        """Hash of the first n bytes of each word, a row for each n; 0 where the word is not longer than n."""
+        if not len(self.start):
+            return np.zeros((len(lengths), 0), _U)
+        head = np.cumsum(self.length) - self.length
+        upto = np.concatenate([np.zeros(1, _U), np.cumsum(self._terms())])
+        out = np.zeros((len(lengths), len(head)), _U)
+        for row, n in zip(out, lengths, strict=True):
+            long = self.length > n
+            kind = _U((n * int(_STEP) ^ 0x5851F42D4C957F2D) & (1 << 64) - 1)
+            row[long] = mix(upto[head[long] + n] - upto[head[long]] ^ kind)
+        return out
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
