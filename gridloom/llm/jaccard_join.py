@@ -101,12 +101,12 @@ class Bands:
         return [own, own - 1] if own and self.partner(self.low(own) - 1) >= size else [own]
 
 
-def _sets(batches, k: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def _sets(batches, k: int) -> Iterator[tuple[tuple[pa.Array, pa.Array], list[np.ndarray]]]:
     for batch in batches:
-        ids = batch.column(0)
+        ids, marks = batch.column(0), batch.column(2)
         for row, end, data, at in text_slices(batch.column(1)):
             found, begin = shingles(Words(data, at), k)
-            yield ids[row:end], [np.unique(found[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            yield (ids[row:end], marks[row:end]), [np.unique(found[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
 
 
 def _fold(found: np.ndarray) -> np.ndarray:
@@ -130,11 +130,11 @@ def _list(values: list[np.ndarray]) -> pa.Array:
 
 def _classes_of(k: int):
     def run(batches):
-        for ids, sets in _sets(batches, k):
+        for (ids, marks), sets in _sets(batches, k):
             node = np.array([_node(s) for s in sets], _U)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(node.view(np.int64)), _list([_fold(s) for s in sets])],
-                ["key", "n", "node", "fold"],
+                [ids, marks, pa.array([len(s) for s in sets], pa.int64()), pa.array(node.view(np.int64)), _list([_fold(s) for s in sets])],
+                ["key", "mark", "n", "node", "fold"],
             )
 
     return run
@@ -176,7 +176,7 @@ def _keys_of(k: int, percent: int):
 
 def _members_of(k: int):
     def run(batches):
-        for ids, sets in _sets(batches, k):
+        for (ids, _), sets in _sets(batches, k):
             yield pa.RecordBatch.from_arrays([ids, _list(sets)], ["member", "found"])
 
     return run
@@ -206,8 +206,9 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, p
     every component.
     """
     given = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    given = given.withColumn("mark", F.xxhash64("text"))
     kind = dict(given.dtypes)["key"]
-    rows = stage(given.mapInArrow(_classes_of(k), f"key {kind}, n long, node long, fold array<long>"), "sets")
+    rows = stage(given.mapInArrow(_classes_of(k), f"key {kind}, mark long, n long, node long, fold array<long>"), "sets")
     classes = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("fold").alias("fold"))
     classes = stage(classes, "classes")
 
@@ -259,14 +260,42 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, p
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
-    """(key, n_shingles, component) for every row of ``docs``."""
+    """(key, mark, n_shingles, component, stays) for every row of ``docs``; ``mark`` is a hash of the text.
+
+    The row with the smallest key of its component stays; the marks decide between rows with that key.
+    """
     rows, links = join(docs, text, key, k, percent)
     roots = components(links)
     placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = stage(placed.select("key", "n", "root"), "placed")
-    least = placed.where("n > 0").groupBy("root").agg(F.min("key").alias("least")).withColumnRenamed("root", "of")
+    placed = stage(placed.select("key", "mark", "n", "root"), "placed")
+    # A struct with a null key sorts first: rows without one are looked at only where no row has one.
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark"))
+    least = placed.where("n > 0").groupBy("root").agg(first.alias("least")).withColumnRenamed("root", "of")
     out = placed.join(least, (F.col("root") == F.col("of")) & (F.col("n") > 0), "left")
-    return out.select("key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component"))
+    alone = F.col("n") == 0
+    return out.select(
+        "key",
+        "mark",
+        F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("key")).otherwise(F.col("least.key")).alias("component"),
+        (alone | (F.col("key").eqNullSafe(F.col("least.key")) & (F.col("mark") == F.col("least.mark")))).alias("stays"),
+    )
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one of each component."""
+    kept = near_duplicates(docs, text, key, k, percent).where("stays").groupBy("key", "mark", "n_shingles").agg(F.count("*").alias("times"))
+    kept = stage(kept, "kept")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    mark = F.xxhash64(F.col(f"`{text}`").cast("string"))
+    out = docs.select(row.alias("row"), F.col(f"`{key}`").alias("k"), mark.alias("m"))
+    one = kept.select("key", "mark", "n_shingles")
+    out = out.join(one, F.col("k").eqNullSafe(F.col("key")) & (F.col("m") == F.col("mark")))
+    if not kept.where("times > 1 AND n_shingles > 0").isEmpty():
+        # Rows that repeat key and text: one of them; texts without words all stay.
+        empty = out.where("n_shingles = 0").select("row")
+        return empty.union(out.where("n_shingles > 0").dropDuplicates(["k", "m"]).select("row")).select("row.*")
+    return out.select("row.*")
 
 
 OP2_SQL = r"""

@@ -137,18 +137,24 @@ def sample(
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken, with all their columns."""
     chosen = sample(docs, text, source, key, **how).where("copies > 0")
-    # Rows that share key, text and source are told apart by nothing: their copies are shared out evenly.
-    chosen = chosen.groupBy("key", "digest", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    held = docs.select(
-        row.alias("row"),
-        F.col(f"`{key}`").alias("k"),
-        F.col(f"`{source}`").cast("string").alias("s"),
-        F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")).alias("d"),
-    )
-    taken = held.join(chosen, F.col("k").eqNullSafe(F.col("key")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("d") == F.col("digest")))
-    again = F.floor((F.col("copies") + F.col("rows") - 1) / F.col("rows")).cast("int")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), again)).alias("copy")).select("row.*")
+    # Rows with the same key, source and text are told apart by nothing: their copies are shared out among them.
+    chosen = chosen.groupBy(_name(F.col("key"), F.col("source"), F.col("digest")).alias("of")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    digest = F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"))
+    name = _name(F.col(f"`{key}`"), F.col(f"`{source}`").cast("string"), digest)
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), name.alias("name"))
+    taken = held.join(chosen, F.col("name") == F.col("of"))
+    if not chosen.where("rows > 1").isEmpty():
+        taken = taken.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy(F.xxhash64("row"))))
+    else:
+        taken = taken.withColumn("place", F.lit(1))
+    again = F.floor(F.col("copies") / F.col("rows")) + (F.col("place") <= F.col("copies") % F.col("rows")).cast("long")
+    taken = taken.withColumn("again", again.cast("int")).where("again > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("again"))).alias("copy")).select("row.*")
+
+
+def _name(key: Column, source: Column, digest: Column) -> Column:
+    parts = (F.coalesce(key.cast("string"), F.lit("?")), F.coalesce(source, F.lit("")), source.isNull().cast("string"), digest)
+    return F.md5(F.concat_ws("|", *parts).cast("binary"))
 
 
 _LEVELS_SQL = ",\n".join(

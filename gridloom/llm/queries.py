@@ -4,7 +4,13 @@ from gridloom.llm import (  # noqa: F401
     exact_dedup,
     fingerprints,
     jaccard_join,
+    langid,
     mixing,
+    packing,
+    pieces,
+    quality,
+    toxicity,
+    warc,
 )
 from gridloom.llm.registry import QUERIES, SQL
 
