@@ -198,7 +198,9 @@ def captures(records: DataFrame) -> DataFrame:
     sources = main.where("record_type = 'response'").groupBy(F.col("record_id").alias("source")).agg(
         F.min("page_id").alias("source_page"), F.min("payload_bytes").alias("source_bytes")
     )
-    out = main.join(sides, F.col("record_id") == F.col("capture"), "left").join(sources, F.col("refers_to") == F.col("source"), "left")
+    # A record that refers to none looks itself up: nulls would all meet in one task.
+    wanted = F.coalesce("refers_to", "record_id")
+    out = main.join(sides, F.col("record_id") == F.col("capture"), "left").join(sources, wanted == F.col("source"), "left")
     return out.select(
         F.col("page_id").cast("long").alias("page_id"), "record_id", "record_type", "target_uri", "date", "http_headers",
         F.coalesce("payload_bytes", "source_bytes").alias("payload_bytes"), "payload_digest", "payload", "request", "metadata",
