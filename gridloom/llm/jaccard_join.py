@@ -14,14 +14,16 @@ the band before.  Within a band every pair differs in at most d bits.
 
 **Pigeonhole.**  A band's sketch is cut into d + 1 + e blocks; a pair agrees in at least e + 1 of
 them.  The sketch is so wide (2^60 bits a block, held as an XOR of hashes) that equal blocks mean
-equal shingles there.  Blocks without shingles, and blocks that more than HOT sets share, say
-little; a pair in which one set has at most e of these agrees in one of the others too.  So they
-are used only between sets that have more than e of them: no pair is lost, and a passage that many
-documents share does not bring these together.
+equal shingles there.  Blocks without shingles say nothing: a set with s of them leaves them out and
+counts on e + 1 - s of the others (a set with more than e uses them too, and meets only its like).
+Of the e + 1 - s agreements one is enough, so each set drops its e - s most shared blocks, all sets by
+the same order: what a pair has in common loses at most its first e - s blocks, and one is left.  A
+passage that many documents share is dropped so, and a set that shares no more than e - s blocks with
+anyone is done.
 
 **Verify.**  Sets that share a block are compared by a folded sketch (Hamming distance within the
 bound), and those that pass by the shingles themselves.  A block shared by many sets does not emit
-its pairs: its sets are compared with one of them (two rounds, by different hubs), then only sets
+its pairs: its sets are compared with two of them (those with the least and the greatest hash), then only sets
 not yet connected are compared with each other, and the folded sketch is a condition of that join.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and is
@@ -43,13 +45,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from gridloom.llm.bytetext import Words, mix, shingles, text_slices
 from gridloom.llm.components import components
 from gridloom.llm.registry import query, table
-from gridloom.session import stage
+from gridloom.session import broadcast_if_small, stage
 
 _U = np.uint64
-HUB_ROUNDS = 2
-HOT = 64
-#: Longs of the folded sketch, by set size below: about one bit a shingle or more.
-FOLD = ((512, 4), (2048, 16), (8192, 64), (1 << 62, 256))
+#: Longs of the folded sketch, by set size below: two bits a shingle or more, up to 8192.
+FOLD = ((128, 4), (512, 16), (2048, 64), (1 << 62, 256))
 
 
 class Bands:
@@ -84,7 +84,7 @@ class Bands:
         differ = self.differ(most + self.partner(most))
         if not differ:
             return 0, 0
-        # The empty blocks of the smallest sets with two deviations, and a tenth more for shared ones.
+        # The empty blocks of the smallest sets with two deviations, and a tenth more to spare.
         size, spare = self.low(band), 1
         for _ in range(20):
             total = differ + 1 + spare
@@ -176,8 +176,9 @@ def _keys_of(k: int, percent: int):
 
 def _members_of(k: int):
     def run(batches):
-        for (ids, _), sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([ids, _list(sets)], ["member", "found"])
+        for _, sets in _sets(batches, k):
+            node = np.array([_node(s) for s in sets], _U)
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), _list(sets)], ["node", "found"])
 
     return run
 
@@ -191,12 +192,20 @@ def _close(a: str, b: str, percent: int) -> Column:
     return near & ((F.size(x) != F.size(y)) | (apart * (100 + percent) <= (n + m) * (100 - percent)))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, given: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose shingles reach the threshold; only the texts of these sets are read again."""
+    pairs = stage(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    nodes = stage(nodes.join(classes.select("node", F.col("first").alias("key")), "node"), "nodes")
+    few = broadcast_if_small(nodes.select("key").distinct(), nodes.count())
+    sets = given.join(few, "key", "left_semi").mapInArrow(_members_of(k), "node long, found array<long>")
+    sets = stage(sets, "members")
     left = sets.select(F.col("node").alias("a"), F.col("found").alias("a_found"))
     right = sets.select(F.col("node").alias("b"), F.col("found").alias("b_found"))
     both = F.size(F.array_intersect("a_found", "b_found"))
     union = F.size("a_found") + F.size("b_found") - both
-    return stage(pairs.join(right, "b").join(left, "a").where(both * 100 >= union * percent).select("a", "b"), "pairs")
+    found = pairs.join(right, "b").join(left, "a").where(both * 100 >= union * percent).select("a", "b").distinct()
+    return stage(found, "found")
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -217,46 +226,32 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, p
     spare = stage(spare.distinct().join(classes.select(F.col("first").alias("key")), "key", "left_anti"), "copies")
     keys = given.join(spare, "key", "left_anti").mapInArrow(_keys_of(k, percent), "block long, node long, spare int")
 
-    # A block that holds one set only is done; the others keep the least set as their first hub.
+    # A block that holds one set only is done; the others name their two hubs.
     whole = Window.partitionBy("block")
-    shared = keys.withColumn("hub", F.min("node").over(whole)).withColumn("last", F.max("node").over(whole)).where("hub < last").drop("last")
-    shared = stage(shared.withColumn("members", F.count("*").over(whole)), "blocks")
-    # Blocks that many share are left to the sets that have more of them than they can spare.
-    crowded = shared.where(F.col("members") > HOT)
-    full = crowded.groupBy("node", "spare").agg(F.count("*").alias("crowds")).where(F.col("crowds") > F.shiftright("spare", 1))
-    shared = shared.where(F.col("members") <= HOT).union(crowded.join(full.select("node", "spare"), ["node", "spare"], "left_semi").select(shared.columns))
+    blocks = keys.select("*", F.min("node").over(whole).alias("lo"), F.max("node").over(whole).alias("hi"), F.count("*").over(whole).alias("members"))
+    blocks = stage(blocks.where("lo < hi"), "blocks")
+    # Every set leaves out its most shared blocks, as many as it can spare.
+    rarest_last = Window.partitionBy("node", "spare").orderBy(F.col("members").desc(), "block")
+    shared = blocks.withColumn("place", F.row_number().over(rarest_last)).where(F.col("place") > F.shiftright("spare", 1))
+    shared = stage(shared.select("block", "node", "lo", "hi"), "shared")
+
     about = classes.select("node", "n", "fold")
-    shared = stage(shared.drop("spare", "members").join(about, "node"), "shared")
-
-    held = shared.select("node").distinct().join(classes.select("node", F.col("first").alias("key")), "node")
-    reader = given.join(held.select("key").distinct(), "key", "left_semi")
-    sets = reader.mapInArrow(_members_of(k), f"member {kind}, found array<long>")
-    sets = stage(sets.join(held, F.col("member") == F.col("key")).dropDuplicates(["node"]).select("node", "found"), "members")
-
-    hubs = about.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("fold").alias("hub_fold"))
-    links = None
-    for turn in range(HUB_ROUNDS):
-        if turn:
-            best = shared.groupBy("block").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node"))["node"].alias("hub"))
-            with_hub = shared.drop("hub").join(best, "block")
-        else:
-            with_hub = shared
-        pairs = with_hub.where("hub <> node").select("hub", "node").distinct()
-        pairs = pairs.join(about.select("node", F.col("n").alias("node_n"), F.col("fold").alias("node_fold")), "node").join(hubs, "hub")
-        pairs = pairs.where(_close("hub", "node", percent)).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-        found = _verified(pairs, sets, percent)
-        links = found if links is None else links.union(found)
+    side = lambda s: about.select(F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("fold").alias(f"{s}_fold"))
+    ends = [F.struct(F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b")) for hub in ("lo", "hi")]
+    pairs = shared.select(F.explode(F.array(*ends)).alias("pair")).select("pair.a", "pair.b").where("a <> b").distinct()
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_close("a", "b", percent)).select("a", "b")
+    links = _verified(pairs, given, classes, k, percent)
 
     # Sets of a block that are not connected yet meet each other.
     joined = components(links)
-    placed = shared.drop("hub").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("block")
-    placed = stage(placed.join(mixed, "block", "left_semi"), "open")
+    placed = shared.select("block", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = placed.select("*", F.min("root").over(whole).alias("lo"), F.max("root").over(whole).alias("hi")).where("lo < hi").drop("lo", "hi")
+    placed = stage(placed, "open").join(about, "node")
     a = placed.select("block", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "fold", "root")))
     b = placed.select("block", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "fold", "root")))
     apart = (a["block"] == b["block"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _close("a", "b", percent)
     pairs = a.join(b, apart).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    return rows.drop("fold"), links.union(_verified(pairs, sets, percent)).distinct()
+    return rows.drop("fold"), links.union(_verified(pairs, given, classes, k, percent)).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:

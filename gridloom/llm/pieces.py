@@ -41,7 +41,7 @@ DROPOUT = 0.1
 SEED = 20
 LONG_WORD = 64
 WIDTHS = (4, 6, 8, 10, 12, 16, 24, LONG_WORD)
-SLICE = 8 << 20
+SLICE = 2 << 20
 SPACE = "▁"
 _U = np.uint64
 _ALL = (1 << 64) - 1
