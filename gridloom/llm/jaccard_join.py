@@ -23,7 +23,7 @@ anyone is done.
 
 **Verify.**  Sets that share a block are compared by a folded sketch (Hamming distance within the
 bound), and those that pass by the shingles themselves.  A block shared by many sets does not emit
-its pairs: its sets are compared with two of them (those with the least and the greatest hash), then only sets
+its pairs: its sets are compared with two of them (least and greatest hash), by HUB_ROUNDS more pairs of hubs where they are not connected, then only sets
 not yet connected are compared with each other, and the folded sketch is a condition of that join.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and is
@@ -48,6 +48,7 @@ from gridloom.llm.registry import query, table
 from gridloom.session import broadcast_if_small, stage
 
 _U = np.uint64
+HUB_ROUNDS = 2
 #: Longs of the folded sketch, by set size below: two bits a shingle or more, up to 8192.
 FOLD = ((128, 4), (512, 16), (2048, 64), (1 << 62, 256))
 
@@ -242,11 +243,24 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, p
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_close("a", "b", percent)).select("a", "b")
     links = _verified(pairs, given, classes, k, percent)
 
+    def open_sets(links: DataFrame) -> DataFrame:
+        """Sets of the blocks that hold more than one component so far."""
+        joined = components(links)
+        placed = shared.select("block", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = placed.select("*", F.min("root").over(whole).alias("lo"), F.max("root").over(whole).alias("hi")).where("lo < hi").drop("lo", "hi")
+        return stage(placed, "open")
+
+    # Other hubs connect most of what is left of a large group, a few rows for each set.
+    for turn in range(HUB_ROUNDS):
+        drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")
+        hubs = open_sets(links).select("node", "root", F.array(F.min(drawn).over(whole), F.max(drawn).over(whole)).alias("hubs"))
+        pairs = hubs.select("node", "root", F.explode("hubs").alias("hub")).where("hub.root <> root")
+        pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_close("a", "b", percent)).select("a", "b")
+        links = links.union(_verified(pairs, given, classes, k, percent))
+
     # Sets of a block that are not connected yet meet each other.
-    joined = components(links)
-    placed = shared.select("block", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = placed.select("*", F.min("root").over(whole).alias("lo"), F.max("root").over(whole).alias("hi")).where("lo < hi").drop("lo", "hi")
-    placed = stage(placed, "open").join(about, "node")
+    placed = open_sets(links).join(about, "node")
     a = placed.select("block", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "fold", "root")))
     b = placed.select("block", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "fold", "root")))
     apart = (a["block"] == b["block"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _close("a", "b", percent)
