@@ -11,11 +11,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridloom.schema import LAT, LON, TIME, coord_key
-from gridloom.session import stage
+from gridloom.schema import HALF_KEY, LAT, LON, TIME, coord_key
+from gridloom.session import broadcast_if_small, stage
 
-# No lat/lon axis of a real grid is longer; a longer one means the data is not gridded.
-MAX_AXIS_POINTS = 100_000
 # Rank buckets for a shuffled order: enough to spread the work, few enough to total in one task.
 HASH_BUCKETS = 4096
 
@@ -29,7 +27,7 @@ class GridAxes:
     _summary: dict[str, tuple] = field(default_factory=dict, compare=False, repr=False)
 
     @classmethod
-    def of(cls, grid: DataFrame, staged: bool = True, max_points: int = MAX_AXIS_POINTS) -> GridAxes:
+    def of(cls, grid: DataFrame, staged: bool = True) -> GridAxes:
         """One pass over the two coordinate columns; partial aggregation keeps the shuffle tiny.
 
         ``staged`` writes the result to the scratch folder, so that later steps do not rescan
@@ -44,7 +42,7 @@ class GridAxes:
             )
         )
         points = coords.groupBy("dim", "coord_key").agg(F.min("coord").alias("coord"))
-        axes = cls(_numbered(points, max_points))
+        axes = cls(_numbered(points))
         return axes.stage() if staged else axes
 
     def stage(self) -> GridAxes:
@@ -57,10 +55,8 @@ class GridAxes:
         )
 
     def positions(self, dim: str) -> DataFrame:
-        """Broadcastable key -> position table; its length is bounded by ``max_points``."""
-        return F.broadcast(
-            self.table.where(F.col("dim") == dim).select("coord_key", "idx")
-        )
+        """Key -> position table, broadcast if its counted length allows."""
+        return broadcast_if_small(self.table.where(F.col("dim") == dim).select("coord_key", "idx"), self.size(dim))
 
     def values(self, dim: str) -> Column:
         """All coordinates of a dimension as one ascending array (scalar subquery)."""
@@ -84,15 +80,18 @@ class GridAxes:
         return self.summary()[dim][0]
 
     def inside(self) -> Column:
-        """Predicate for rows within the extent: literals, so it reaches the scan."""
+        """Predicate for rows within the extent: literals, so it reaches the scan.
+
+        The bounds are half a coordinate key wider, for coordinates stored in another precision.
+        """
         keep = F.lit(True)
         for dim, (n, lo, hi) in self.summary().items():
-            keep = keep & (F.col(dim).between(lo, hi) if n else F.lit(False))
+            keep = keep & (F.col(dim).between(lo - HALF_KEY, hi + HALF_KEY) if n else F.lit(False))
         return keep
 
     def within(self, lon_min: float, lat_min: float, lon_max: float, lat_max: float) -> GridAxes:
-        keep = F.when(F.col("dim") == LAT, F.col("coord").between(lat_min, lat_max)).otherwise(
-            F.col("coord").between(lon_min, lon_max)
+        keep = F.when(F.col("dim") == LAT, F.col("coord").between(lat_min - HALF_KEY, lat_max + HALF_KEY)).otherwise(
+            F.col("coord").between(lon_min - HALF_KEY, lon_max + HALF_KEY)
         )
         return GridAxes(_numbered(self.table.where(keep)))
 
@@ -114,15 +113,9 @@ class GridAxes:
         return self
 
 
-def _numbered(points: DataFrame, max_points: int = MAX_AXIS_POINTS) -> DataFrame:
+def _numbered(points: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("dim").orderBy("coord_key"))
-    too_long = F.raise_error(F.lit(f"axis has more than {max_points} points: not a grid"))
-    return points.withColumn("_rank", rank).select(
-        "dim",
-        F.when(F.col("_rank") > max_points, too_long).otherwise(F.col("_rank") - 1).cast("int").alias("idx"),
-        "coord_key",
-        "coord",
-    )
+    return points.select("dim", (rank - 1).cast("int").alias("idx"), "coord_key", "coord")
 
 
 def axis_positions(grid: DataFrame, axes: GridAxes | None = None) -> DataFrame:

@@ -97,15 +97,19 @@ def difference_map(
     )
 
 
+def _number(column: str) -> Column:
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+
+
 def histogram(data: DataFrame, series: dict[str, str], bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width counts of each series on its own range; ``series`` maps label -> column.
 
     Bins are half-open but for the last one; empty bins are present.  A constant series is
-    widened by half a unit on both sides.  Two column scans, one shuffle of bin counts.
+    widened by half a unit on both sides.  Missing values (NULL, NaN) are in no bin.  Two column scans, one shuffle of bin counts.
     """
     limits = data.agg(
         F.struct(
-            *[f(c).cast("double").alias(f"{n}_{s}") for s, c in series.items() for n, f in (("lo", F.min), ("hi", F.max))]
+            *[f(_number(c)).alias(f"{n}_{s}") for s, c in series.items() for n, f in (("lo", F.min), ("hi", F.max))]
         ).alias("limits")
     ).scalar()
     edges = {}
@@ -115,13 +119,13 @@ def histogram(data: DataFrame, series: dict[str, str], bins: int = HISTOGRAM_BIN
         edges[label] = (F.when(flat, lo - 0.5).otherwise(lo), F.when(flat, hi + 0.5).otherwise(hi))
 
     def bin_of(label: str) -> Column:
-        (lo, hi), x = edges[label], F.col(series[label])
+        (lo, hi), x = edges[label], _number(series[label])
         step = (hi - lo) / bins
         guess = F.least(F.floor((x - lo) * bins / (hi - lo)), F.lit(bins - 1))
         # Rounding may put a value next to an edge on the wrong side of it.
         down = F.when(x < lo + guess * step, -1).otherwise(0)
         up = F.when((guess < bins - 1) & (x >= lo + (guess + 1) * step), 1).otherwise(0)
-        return (guess + down + up).cast("int")
+        return F.when(x.isNotNull(), (guess + down + up).cast("int"))
 
     binned = data.select(
         F.inline(F.array(*[F.struct(F.lit(s).alias("series"), bin_of(s).alias("bin")) for s in series]))

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.operators.axes import GridAxes, axis_positions
-from gridloom.schema import LAT, LON, TEMPERATURE, TIME
+from gridloom.schema import CELL_KEYS, LAT, LON, TEMPERATURE, TIME, with_cell_keys
 from gridloom.session import clustered
 
 Kernel = Sequence[Sequence[float]]
@@ -121,8 +121,14 @@ def pointwise(weights: Mapping[str, float], bias: float = 0.0) -> Column:
 
 
 def join_channels(left: DataFrame, right: DataFrame, keys: Sequence[str] = (TIME, LAT, LON)) -> DataFrame:
-    """Add the channels of the same cell."""
-    return left.join(right, list(keys))
+    """Add the channels of the same cell; coordinates meet by key, those of ``left`` stay."""
+    cells = [k for k in keys if k in (LAT, LON)]
+    if len(cells) < 2:
+        return left.join(right, list(keys))
+    on = [*(k for k in keys if k not in cells), *CELL_KEYS]
+    return with_cell_keys(left).join(with_cell_keys(right).drop(LAT, LON), on).drop(*CELL_KEYS).select(
+        *left.columns, *(c for c in right.columns if c not in keys)
+    )
 
 
 def batch_norm(grid: DataFrame, variable: str = TEMPERATURE, epsilon: float = NORM_EPSILON) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridloom.functions import hhmm, minute_of_day
 from gridloom.operators.axes import GridAxes, time_axis
-from gridloom.schema import LAT, LON, TEMPERATURE, TEMPERATURE_ATTRS, TIME, Region, assert_grid
+from gridloom.schema import HALF_KEY, LAT, LON, TEMPERATURE, TEMPERATURE_ATTRS, TIME, Region, assert_grid
 from gridloom.session import broadcast_if_small
 
 
@@ -22,7 +22,7 @@ def at_times(
     whole directories.  Other tables are filtered on the minute of the day.
     """
     assert_grid(grid, variables)
-    if "hhmm" in grid.columns:
+    if dict(grid.dtypes).get("hhmm") in ("int", "bigint", "smallint"):
         wanted = F.col("hhmm").isin(*[int(t.replace(":", "")) for t in specific_times])
     else:
         minutes = [int(t[:2]) * 60 + int(t[3:]) for t in specific_times]
@@ -46,7 +46,8 @@ def crop_to_region(grid: DataFrame, region: Region | Sequence[float] | None) ->
     box = Region.of(region)
     if box is None:
         return grid
-    return grid.where(F.col(LON).between(box.lon_min, box.lon_max) & F.col(LAT).between(box.lat_min, box.lat_max))
+    lon = F.col(LON).between(box.lon_min - HALF_KEY, box.lon_max + HALF_KEY)
+    return grid.where(lon & F.col(LAT).between(box.lat_min - HALF_KEY, box.lat_max + HALF_KEY))
 
 
 def crop_to_axes(grid: DataFrame, axes: GridAxes) -> DataFrame:

@@ -102,6 +102,9 @@ class Region:
 DEFAULT_REGION = Region(6.5, 42.5, 16.5, 54.0)
 CROPPED_REGION = Region(8.3, 43.8, 14.5, 51.5)
 
+# Coordinates this close have the same key.
+HALF_KEY = 0.5 / KEYS_PER_DEGREE
+
 
 def coord_key(name: str | Column) -> Column:
     col = F.col(name) if isinstance(name, str) else name

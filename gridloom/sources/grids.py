@@ -25,7 +25,13 @@ def read_months(
 def read_mixed(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet") -> DataFrame:
     """Concatenate files with different variables; absent ones become NULL."""
     parts = [spark.read.format(fmt).load(p) for p in paths]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return _no_nan(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+
+
+def _no_nan(grid: DataFrame) -> DataFrame:
+    """NaN becomes NULL in every floating variable."""
+    floats = [c for c, kind in grid.dtypes if kind in ("double", "float") and c not in (LAT, LON)]
+    return nan_to_null(grid, floats)
 
 
 def load_lr(spark: SparkSession, months: Sequence[str], static: str) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +73,7 @@ def store_dataset(grid: DataFrame, name: str, path: str, mode: str = "overwrite"
 
 def load_dataset(spark: SparkSession, name: str, path: str) -> DataFrame:
     """A stored dataset; ``hhmm`` and ``year`` stay available for pruning."""
-    return spark.read.parquet(f"{path.rstrip('/')}/{name}")
+    return _no_nan(spark.read.parquet(f"{path.rstrip('/')}/{name}"))
 
 
 def store_parts(grid: DataFrame, path: str) -> str:
@@ -79,7 +85,7 @@ def store_parts(grid: DataFrame, path: str) -> str:
 
 def read_parts(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
     """Month parts with start <= index < end; others are pruned at planning."""
-    parts = spark.read.parquet(path)
+    parts = _no_nan(spark.read.parquet(path))
     return parts.where(F.col("part_idx").between(start, end - 1)).drop("part_idx")
 
 
