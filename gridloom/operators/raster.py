@@ -24,17 +24,31 @@ NORM_EPSILON = 1e-3
 BILINEAR = [[0.25, 0.5, 0.25], [0.5, 1.0, 0.5], [0.25, 0.5, 0.25]]
 NEAREST = [[1.0, 1.0], [1.0, 1.0]]
 
+MISSING = ("null", "zero", "renormalise")
+
 POOLS = {"max": F.max, "min": F.min, "avg": F.avg}
 
 
 def block_pool(
-    grid: DataFrame, variable: str = TEMPERATURE, size: int = 2, how: str = "max", axes: GridAxes | None = None
+    grid: DataFrame,
+    variable: str = TEMPERATURE,
+    size: int = 2,
+    how: str = "max",
+    axes: GridAxes | None = None,
+    origin: str = "north",
 ) -> DataFrame:
-    """Aggregate size x size blocks; a trailing incomplete row or column of blocks is dropped."""
+    """Aggregate size x size blocks, numbered from the south-west.
+
+    Blocks start at the northernmost row (``origin='south'``: the southernmost) and the
+    westernmost column; the incomplete row or column of blocks at the other end is dropped.
+    """
+    if origin not in ("north", "south"):
+        raise ValueError("origin must be 'north' or 'south'")
     axes = axes or GridAxes.of(grid)
-    y, x = (F.floor(F.col(c) / size).cast("int") for c in ("lat_idx", "lon_idx"))
+    skipped = axes.size(LAT) % size if origin == "north" else 0
+    y, x = F.floor((F.col("lat_idx") - skipped) / size).cast("int"), F.floor(F.col("lon_idx") / size).cast("int")
     blocks = axis_positions(grid, axes).select(TIME, y.alias("block_y"), x.alias("block_x"), variable)
-    whole = (F.col("block_y") < axes.size(LAT) // size) & (F.col("block_x") < axes.size(LON) // size)
+    whole = F.col("block_y").between(0, axes.size(LAT) // size - 1) & (F.col("block_x") < axes.size(LON) // size)
     return blocks.where(whole).groupBy(TIME, "block_y", "block_x").agg(POOLS[how](variable).alias(variable))
 
 
@@ -43,6 +57,9 @@ def _scatter(
 ) -> DataFrame:
     """Sum tap-weighted values at (stride*y + dy, stride*x + dx).
 
+    Besides ``_sum``: ``_taps``, the number of present values with a weight other than zero, and
+    ``_weight``, the sum of their weights.
+
     ``cells`` has time, y, x, the weighted variables and the columns of ``keep``, which are
     taken from the cell that lands on its own position with dy = dx = 0.
     """
@@ -62,13 +79,21 @@ def _scatter(
     sent = rows.select("*", F.inline(weights)).withColumns(
         {"_ty": stride * F.col("y") + F.col("dy"), "_tx": stride * F.col("x") + F.col("dx")}
     )
-    part = sum((F.coalesce(F.col(v), F.lit(0.0)) * F.col(f"w_{v}") for v in variables), F.lit(0.0))
+    # Taps without weight take no part, so a missing cell under them does no harm.
+    used = {v: F.col(v).isNotNull() & (F.col(f"w_{v}") != 0) for v in variables}
+    part, weight = (
+        sum((F.when(used[v], term(v)).otherwise(F.lit(0.0)) for v in variables), F.lit(0.0))
+        for term in (lambda v: F.col(v) * F.col(f"w_{v}"), lambda v: F.col(f"w_{v}"))
+    )
+    found = sum((hit.cast("int") for hit in used.values()), F.lit(0))
     centre = (F.col("dy") == 0) & (F.col("dx") == 0)
     return (
         sent.where(band(F.col("_ty")) == F.col("_band"))
         .groupBy(TIME, "_band", "_ty", "_tx")
         .agg(
             F.sum(part).alias("_sum"),
+            F.sum(weight).alias("_weight"),
+            F.sum(found).alias("_taps"),
             F.max(centre).alias("_own"),
             *[F.max(F.when(centre, F.col(k))).alias(k) for k in keep],
         )
@@ -76,13 +101,48 @@ def _scatter(
     )
 
 
+def _inside(axes: GridAxes, taps: list[tuple[int, int, dict[str, float]]], stride: int) -> tuple[Column, Column]:
+    """Number and weight of the taps that reach a target from inside the axes, missing cells included."""
+    count, weight = F.lit(0), F.lit(0.0)
+    for dy, dx, weights in taps:
+        used = [w for w in weights.values() if w != 0]
+        if not used:
+            continue
+        here = F.lit(True)
+        for target, shift, dim in (("_ty", dy, LAT), ("_tx", dx, LON)):
+            source = F.col(target) - shift
+            here = here & (F.pmod(source, F.lit(stride)) == 0) & source.between(0, stride * (axes.size(dim) - 1))
+        count = count + F.when(here, len(used)).otherwise(0)
+        weight = weight + F.when(here, float(sum(used))).otherwise(0.0)
+    return count, weight
+
+
+def _complete(value: Column, count: Column, weight: Column, on_missing: str) -> Column:
+    """What a sum is worth where cells inside the grid are missing."""
+    if on_missing not in MISSING:
+        raise ValueError(f"on_missing must be one of {MISSING}")
+    if on_missing == "zero":
+        return value
+    whole = F.col("_taps") == count
+    rescaled = value * weight / F.when(F.col("_weight") != 0, F.col("_weight")) if on_missing == "renormalise" else F.lit(None)
+    return F.when(whole, value).otherwise(rescaled)
+
+
 def convolve(
-    grid: DataFrame, kernels: Mapping[str, Kernel], output: str = "focal", bias: float = 0.0, axes: GridAxes | None = None
+    grid: DataFrame,
+    kernels: Mapping[str, Kernel],
+    output: str = "focal",
+    bias: float = 0.0,
+    axes: GridAxes | None = None,
+    on_missing: str = "null",
 ) -> DataFrame:
     """'Same' convolution (cross-correlation) summed over variables; zero outside the grid.
 
-    Kernel rows follow ascending latitude, kernel columns ascending longitude.
+    Kernel rows follow ascending latitude, kernel columns ascending longitude.  Where a cell
+    inside the grid that a weight reaches is missing (NULL or absent), the result is NULL;
+    ``on_missing='zero'`` counts it as zero, ``'renormalise'`` spreads its weight over the rest.
     """
+    axes = axes or GridAxes.of(grid)
     first = next(iter(kernels.values()))
     ry, rx = len(first) // 2, len(first[0]) // 2
     taps = [
@@ -94,24 +154,38 @@ def convolve(
         TIME, F.col("lat_idx").alias("y"), F.col("lon_idx").alias("x"), LAT, LON, *kernels
     )
     out = _scatter(cells, taps, 1, keep=(LAT, LON)).where(F.col("_own"))
-    return out.select(TIME, LAT, LON, (F.col("_sum") + bias).alias(output))
+    value = _complete(F.col("_sum"), *_inside(axes, taps, 1), on_missing)
+    return out.select(TIME, LAT, LON, (value + bias).alias(output))
 
 
 def upsample(
-    grid: DataFrame, variable: str = TEMPERATURE, kernel: Kernel = BILINEAR, stride: int = 2, axes: GridAxes | None = None
+    grid: DataFrame,
+    variable: str = TEMPERATURE,
+    kernel: Kernel = BILINEAR,
+    stride: int = 2,
+    axes: GridAxes | None = None,
+    on_missing: str = "null",
+    interpolate: bool = True,
 ) -> DataFrame:
-    """Transposed convolution: (time, out_y, out_x, value) on an axis ``stride`` times longer.
+    """Kernel-weighted cells as (time, out_y, out_x, value) on an axis ``stride`` times longer.
 
     Input (y, x) reaches outputs stride*y .. stride*y + k - 1; what falls beyond the end of the
-    longer axis is cut off.
+    longer axis is cut off.  An output is the mean of the inputs that reach it by their weights,
+    so a constant field stays constant up to its edges; ``interpolate=False`` gives the plain
+    sums of a transposed convolution.  ``on_missing`` as in ``convolve``; outputs that no present
+    cell reaches are absent.
     """
     axes = axes or GridAxes.of(grid)
     taps = [(r, c, {variable: kernel[r][c]}) for r in range(len(kernel)) for c in range(len(kernel[0]))]
     cells = axis_positions(grid, axes).select(TIME, F.col("lat_idx").alias("y"), F.col("lon_idx").alias("x"), variable)
     out = _scatter(cells, taps, stride)
     inside = (F.col("_ty") < stride * axes.size(LAT)) & (F.col("_tx") < stride * axes.size(LON))
-    return out.where(inside).select(
-        TIME, F.col("_ty").alias("out_y"), F.col("_tx").alias("out_x"), F.col("_sum").alias(variable)
+    count, weight = _inside(axes, taps, stride)
+    value = _complete(F.col("_sum"), count, weight, on_missing)
+    if interpolate:
+        value = value / F.when(weight != 0, weight)
+    return out.where(inside).where(F.col("_taps") > 0).select(
+        TIME, F.col("_ty").alias("out_y"), F.col("_tx").alias("out_x"), value.alias(variable)
     )
 
 

@@ -1,4 +1,4 @@
-"""Cell rows <-> one tile (2-D array, north row first) per timestep."""
+"""Cell rows <-> tiles (2-D arrays, north row first) of each timestep."""
 
 from __future__ import annotations
 
@@ -7,41 +7,44 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gridloom.operators.axes import GridAxes
+from gridloom.operators.axes import GridAxes, axis_positions
 from gridloom.operators.regrid import densify
 from gridloom.schema import LAT, LON, TEMPERATURE, TIME
 
-# A tile is one row; beyond this size it should stay as cell rows.
-MAX_TILE_CELLS = 4_000_000
+# Rows and columns of a tile; timesteps of any size are cut into such tiles.
+TILE_SIDE = 512
 
 
-def to_tiles(grid: DataFrame, variables: Sequence[str], axes: GridAxes | None = None) -> DataFrame:
-    """(time, <variable> array<array<double>>): latitude descending, longitude ascending.
+def to_tiles(
+    grid: DataFrame, variables: Sequence[str], axes: GridAxes | None = None, size: int = TILE_SIDE
+) -> DataFrame:
+    """(time, tile_y, tile_x, <variable> array<array<double>>): latitude descending, longitude ascending.
 
-    Missing cells are NULL elements.  Cells are gathered row by row after the grid has been
-    made dense on its axes, so a tile holds exactly n_lat x n_lon values; the size is checked
-    on the axes before any cell moves.
+    Tiles are counted from the north-west corner and hold ``size`` x ``size`` values, those at
+    the southern and eastern end what is left.  Missing cells are NULL elements: the grid is made
+    dense on its axes first.
     """
     axes = axes or GridAxes.of(grid)
-    if axes.size(LAT) * axes.size(LON) > MAX_TILE_CELLS:
-        raise ValueError(f"a tile would have more than {MAX_TILE_CELLS} cells; keep them as rows")
-    cells = densify(grid, variables, axes)
-    names = list(variables)
-    rows = cells.groupBy(TIME, LAT).agg(F.sort_array(F.collect_list(F.struct(LON, *names))).alias("_row"))
-    tiles = rows.groupBy(TIME).agg(
+    placed = axis_positions(densify(grid, variables, axes), axes)
+    north = F.lit(axes.size(LAT) - 1) - F.col("lat_idx")
+    cells = placed.withColumns(
+        {"tile_y": F.floor(north / size).cast("int"), "tile_x": F.floor(F.col("lon_idx") / size).cast("int")}
+    )
+    names, tile = list(variables), [TIME, "tile_y", "tile_x"]
+    rows = cells.groupBy(*tile, LAT).agg(F.sort_array(F.collect_list(F.struct(LON, *names))).alias("_row"))
+    tiles = rows.groupBy(*tile).agg(
         F.sort_array(F.collect_list(F.struct((-F.col(LAT)).alias("_south"), "_row"))).alias("_tile")
     )
 
     def plane(variable: str):
         return F.transform("_tile", lambda r: F.transform(r["_row"], lambda c: c[variable])).alias(variable)
 
-    return tiles.select(TIME, *map(plane, names))
+    return tiles.select(*tile, *map(plane, names))
 
 
-def from_tiles(tiles: DataFrame, axes: GridAxes, variable: str = TEMPERATURE) -> DataFrame:
-    """Tile arrays back to cell rows: array position -> axis coordinate."""
-    rows = tiles.select(TIME, F.posexplode(variable).alias("_r", "_row"))
-    cells = rows.select(TIME, "_r", F.posexplode("_row").alias("_c", variable))
+def from_tiles(tiles: DataFrame, axes: GridAxes, variable: str = TEMPERATURE, size: int = TILE_SIDE) -> DataFrame:
+    """Tile arrays back to cell rows: position in the grid -> axis coordinate."""
+    cells = tile_cells(tiles, variable, size).withColumnsRenamed({"row": "_r", "col": "_c", "value": variable})
     return cells.select(
         TIME,
         F.get(axes.values(LAT), F.lit(axes.size(LAT) - 1) - F.col("_r")).alias(LAT),
@@ -50,20 +53,12 @@ def from_tiles(tiles: DataFrame, axes: GridAxes, variable: str = TEMPERATURE) ->
     )
 
 
-def tile_cells(tiles: DataFrame, variable: str = TEMPERATURE) -> DataFrame:
-    """(time, row, col, value) in tile order, e.g. to inspect a layout."""
-    rows = tiles.select(TIME, F.posexplode(variable).alias("row", "_row"))
-    return rows.select(TIME, "row", F.posexplode("_row").alias("col", "value"))
-
-
-def _bounded(samples: DataFrame, max_cells: int) -> DataFrame:
-    """Refuse timesteps too large for one worker, before any of them is gathered.
-
-    Counted with partial aggregation in a pass over the time column alone.
-    """
-    largest = samples.groupBy(TIME).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).scalar()
-    refuse = F.raise_error(F.lit(f"a timestep has more than {max_cells} cells")).cast("boolean")
-    return samples.where(F.when(largest > max_cells, refuse).otherwise(F.lit(True)))
+def tile_cells(tiles: DataFrame, variable: str = TEMPERATURE, size: int = TILE_SIDE) -> DataFrame:
+    """(time, row, col, value), rows counted from the north, columns from the west of the grid."""
+    rows = tiles.select(TIME, "tile_y", "tile_x", F.posexplode(variable).alias("_r", "_row"))
+    cells = rows.select(TIME, "tile_y", "tile_x", "_r", F.posexplode("_row").alias("_c", "value"))
+    row, col = F.col("tile_y") * size + F.col("_r"), F.col("tile_x") * size + F.col("_c")
+    return cells.select(TIME, row.alias("row"), col.alias("col"), "value")
 
 
 def score_tiles(
@@ -71,13 +66,20 @@ def score_tiles(
     score: Callable[[pd.DataFrame], pd.Series],
     variables: Sequence[str],
     output: str = TEMPERATURE,
-    max_cells: int = MAX_TILE_CELLS,
+    size: int | None = TILE_SIDE,
+    halo: int = 0,
+    axes: GridAxes | None = None,
 ) -> DataFrame:
-    """Apply a spatial scorer to every timestep.
+    """Apply a spatial scorer to every tile of every timestep.
 
-    ``score`` gets all cells of one timestep, north-up, as a pandas frame and returns one value
-    per row.  A timestep with more than ``max_cells`` rows is an error.
+    ``score`` gets the cells of a tile and of a margin of ``halo`` rows and columns around it,
+    north-up, as a pandas frame with their positions ``lat_idx`` and ``lon_idx``, and returns one
+    value per row; the margin's values are dropped.  A scorer that looks no farther than ``halo``
+    gives the same result for every ``size``.  ``size=None`` hands over whole timesteps, for
+    scorers that cannot do with less: each must then fit into one task.
     """
+    if halo < 0:
+        raise ValueError("halo must not be negative")
     schema = T.StructType(
         [
             T.StructField(TIME, T.TimestampNTZType()),
@@ -87,12 +89,24 @@ def score_tiles(
         ]
     )
 
+    tile_key = ["_tile_y", "_tile_x"]
+
     def one(tile: pd.DataFrame) -> pd.DataFrame:
         tile = tile.sort_values([LAT, LON], ascending=[False, True], ignore_index=True)
-        return tile[[TIME, LAT, LON]].assign(**{output: score(tile)})
-
-    cells = _bounded(samples.select(TIME, LAT, LON, *variables), max_cells)
-    return cells.groupBy(TIME).applyInPandas(one, schema)
+        own = tile.pop("_own")
+        return tile[[TIME, LAT, LON]].assign(**{output: score(tile.drop(columns=tile_key))})[own]
+
+    cells = axis_positions(samples.select(TIME, LAT, LON, *variables), axes or GridAxes.of(samples))
+    if size is None:
+        cells = cells.withColumns({"_tile_y": F.lit(0), "_tile_x": F.lit(0), "_own": F.lit(True)})
+    else:
+        own = F.lit(True)
+        for key, position in zip(tile_key, ("lat_idx", "lon_idx"), strict=True):
+            first, last = (F.floor((F.col(position) + d) / size).cast("int") for d in (-halo, halo))
+            cells = cells.withColumn(key, F.explode(F.sequence(first, last)))
+            own = own & (F.floor(F.col(position) / size) == F.col(key))
+        cells = cells.withColumn("_own", own)
+    return cells.groupBy(TIME, *tile_key).applyInPandas(one, schema)
 
 
 def score_rows(

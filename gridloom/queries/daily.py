@@ -69,7 +69,7 @@ def daily_regrid_metrics(spark, sf):
     ),
 )
 def daily_focal(spark, sf):
-    return ra.convolve(hold(tb.daily_hr(spark, sf)), {"t2m": KERNEL})
+    return ra.convolve(hold(tb.daily_hr(spark, sf)), {"t2m": KERNEL}, on_missing="zero")
 
 
 @query(

@@ -1,9 +1,10 @@
 """Baseline models, scorers and configuration grids."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.operators import model as md
-from gridloom.operators.align import pair_features
+from gridloom.operators.align import join_cells, keyed, pair_features
 from gridloom.operators.axes import GridAxes
 from gridloom.operators.evaluate import losses
 from gridloom.operators.regrid import regrid
@@ -76,8 +77,8 @@ def global_linear_model(spark, sf):
 
 def _terrain_samples(spark, sf):
     samples = _samples(spark, sf)
-    static = tb.static_hr(spark, sf).select("latitude", "longitude", "lsm", "orog")
-    return samples.join(F.broadcast(static), ["latitude", "longitude"])
+    static = hold(keyed(tb.static_hr(spark, sf), "lsm", "orog"))
+    return join_cells(samples, static, static.count(), "inner")
 
 
 @query("global_linear_with_terrain")
@@ -102,7 +103,29 @@ def global_huber_model(spark, sf):
 )
 def tile_scorer(spark, sf):
     """A spatial scorer: departure of every cell from the warmest one of its timestep."""
-    return score_tiles(at_times(tb.grid_hr(spark, sf)), lambda tile: tile["t2m"] - tile["t2m"].max(), ["t2m"])
+    return score_tiles(at_times(tb.grid_hr(spark, sf)), lambda tile: tile["t2m"] - tile["t2m"].max(), ["t2m"], size=None)
+
+
+def _above_neighbours(tile):
+    """Departure of every cell from the mean of the present cells of its 3 x 3 neighbourhood."""
+    field = tile.set_index(["lat_idx", "lon_idx"])["t2m"]
+    near = [field.reindex([(y + dy, x + dx) for y, x in field.index]).to_numpy() for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    return tile["t2m"] - np.nanmean(near, axis=0)
+
+
+@query(
+    "tile_scorer_with_halo",
+    with_ctes(
+        f"""SELECT a.time, a.latitude, a.longitude, {r6('max(a.t2m) - avg(b.t2m)')} AS t2m FROM pos a JOIN pos b
+              ON b.time = a.time AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY 1, 2, 3""",
+        "grid_hr",
+        pos="""SELECT time, latitude, longitude, t2m, dense_rank() OVER (ORDER BY latitude) AS y,
+            dense_rank() OVER (ORDER BY longitude) AS x FROM grid_hr""",
+    ),
+)
+def tile_scorer_with_halo(spark, sf):
+    """A scorer of neighbourhoods, on tiles of 4 x 4 cells with one row and column of overlap."""
+    return score_tiles(hold(tb.grid_hr(spark, sf)), _above_neighbours, ["t2m"], size=4, halo=1)
 
 
 @query(

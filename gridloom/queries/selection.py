@@ -167,6 +167,23 @@ def tile_layout(spark, sf):
     return tile_cells(to_tiles(hold(sel.at_times(tb.grid_hr(spark, sf))), ["t2m"]))
 
 
+@query(
+    "tile_round_trip_small_tiles",
+    with_ctes(
+        f"""SELECT t.time, a.latitude, o.longitude, {r6('h.t2m')} AS t2m
+            FROM (SELECT DISTINCT time FROM grid_hr) t CROSS JOIN ax_lat a CROSS JOIN ax_lon o
+            LEFT JOIN grid_hr h ON h.time = t.time AND h.latitude = a.latitude AND h.longitude = o.longitude""",
+        "grid_hr",
+        **axes_ctes("grid_hr"),
+    ),
+)
+def tile_round_trip_small_tiles(spark, sf):
+    """Tiles of 5 x 5 cells, which do not divide the axes."""
+    grid = hold(tb.grid_hr(spark, sf))
+    axes = ax.GridAxes.of(grid)
+    return from_tiles(to_tiles(grid, ["t2m"], axes, size=5), axes, size=5)
+
+
 @query(
     "tile_round_trip",
     with_ctes(

@@ -244,10 +244,26 @@ def test_tiles_are_north_up_and_come_back(grid, as_values):
 
 
 def test_tile_scorer_sees_whole_timesteps(grid):
-    out = score_tiles(grid, lambda tile: pd.Series(float(len(tile)), index=tile.index), ["t2m"])
+    out = score_tiles(grid, lambda tile: pd.Series(float(len(tile)), index=tile.index), ["t2m"], size=None)
     assert {r.t2m for r in out.collect()} == {63.0}
 
 
+def test_small_tiles_come_back_whole(grid, as_values):
+    axes = ax.GridAxes.of(grid)
+    tiles = to_tiles(grid, ["t2m"], axes, size=4)
+    assert {(r.tile_y, r.tile_x) for r in tiles.collect()} == {(y, x) for y in (0, 1) for x in (0, 1, 2)}
+    assert as_values(from_tiles(tiles, axes, size=4)) == as_values(grid)
+
+
+def test_tile_margins_are_seen_but_not_returned(grid):
+    count = lambda tile: pd.Series(float(len(tile)), index=tile.index)
+    out = ax.axis_positions(score_tiles(grid, count, ["t2m"], size=4, halo=1), ax.GridAxes.of(grid))
+    assert out.count() == grid.count()
+    at = {(r.lat_idx, r.lon_idx): r.t2m for r in out.collect()}
+    # 5 x 5 cells at the corner, 4 x 6 in the middle of the other side.
+    assert at[0, 0] == 25 and at[6, 5] == 24 and at[6, 8] == 4 * 2
+
+
 # ------------------------------------------------------------------- raster
 
 
@@ -284,10 +300,35 @@ def test_upsampling_against_numpy(make_grid, monkeypatch, band):
     for i, y in enumerate(LATS):
         for j, x in enumerate(LONS):
             want[2 * i : 2 * i + 3, 2 * j : 2 * j + 3] += k * wave(0, y, x)
-    out = dense(ra.upsample(grid), "out_y", "out_x", "t2m", (14, 18))
+    out = dense(ra.upsample(grid, interpolate=False), "out_y", "out_x", "t2m", (14, 18))
     assert np.allclose(out, want[:14, :18])
 
 
+def test_bilinear_upsampling_keeps_a_constant(make_grid):
+    out = ra.upsample(make_grid(LATS, LONS, 1, lambda d, y, x: 100.0))
+    assert out.count() == 14 * 18 and {round(r.t2m, 9) for r in out.collect()} == {100.0}
+
+
+@pytest.mark.parametrize("gap", ["null", "absent"])
+def test_missing_cells_are_not_zero(make_grid, gap):
+    grid = make_grid(LATS, LONS, 1, lambda d, y, x: 270.0)
+    hole = (F.col("latitude") == LATS[3]) & (F.col("longitude") == LONS[4])
+    grid = grid.withColumn("t2m", F.when(~hole, F.col("t2m"))) if gap == "null" else grid.where(~hole)
+    axes, mean = ax.GridAxes.of(grid), {"t2m": [[1 / 9] * 3] * 3}
+
+    def focal(how):
+        out = ax.axis_positions(ra.convolve(grid, mean, axes=axes, on_missing=how), axes)
+        return dense(out.where("focal IS NOT NULL"), "lat_idx", "lon_idx", "focal", (7, 9))
+
+    assert np.isnan(focal("null")).sum() == 9
+    assert np.allclose(focal("renormalise")[1:-1, 1:-1][~np.isnan(focal("renormalise")[1:-1, 1:-1])], 270)
+    assert focal("zero")[2, 3] == pytest.approx(240)
+    up = {r.t2m and round(r.t2m, 9) for r in ra.upsample(grid, axes=axes).collect()}
+    assert up == {270.0, None}
+    with pytest.raises(ValueError, match="on_missing"):
+        ra.convolve(grid, mean, axes=axes, on_missing="skip")
+
+
 def test_nearest_upsampling_repeats_cells(make_grid):
     grid = make_grid(LATS, LONS, 1, wave)
     out = dense(ra.upsample(grid, kernel=ra.NEAREST), "out_y", "out_x", "t2m", (14, 18))
@@ -296,9 +337,10 @@ def test_nearest_upsampling_repeats_cells(make_grid):
 
 def test_pool_drops_incomplete_blocks(make_grid):
     grid = make_grid(LATS, LONS, 1, wave)
-    z = np.array([[wave(0, y, x) for x in LONS] for y in LATS])[:6, :8]
-    out = dense(ra.block_pool(grid), "block_y", "block_x", "t2m", (3, 4))
-    assert np.allclose(out, z.reshape(3, 2, 4, 2).max(axis=(1, 3)))
+    z = np.array([[wave(0, y, x) for x in LONS] for y in LATS])
+    for origin, kept in (("south", z[:6, :8]), ("north", z[1:, :8])):
+        out = dense(ra.block_pool(grid, origin=origin), "block_y", "block_x", "t2m", (3, 4))
+        assert np.allclose(out, kept.reshape(3, 2, 4, 2).max(axis=(1, 3)))
 
 
 def test_batch_norm(grid):
