@@ -87,21 +87,25 @@ def _melt(grid: DataFrame, variables: Sequence[str]) -> tuple[DataFrame, list[st
     return grid.select("*", F.inline(F.array(*pairs))), ["_var"]
 
 
-def _unmelt(cells: DataFrame, variables: Sequence[str]) -> DataFrame:
+def _unmelt(cells: DataFrame, variables: Sequence[str], positions: Sequence[str] = ()) -> DataFrame:
     if len(variables) == 1:
-        return cells.select(TIME, LAT, LON, F.col("_v").alias(variables[0]))
+        return cells.select(TIME, LAT, LON, *positions, F.col("_v").alias(variables[0]))
     picks = [F.max(F.when(F.col("_var") == v, F.col("_v"))).alias(v) for v in variables]
-    return cells.groupBy(TIME, LAT, LON).agg(*picks)
+    return cells.groupBy(TIME, LAT, LON, *positions).agg(*picks)
 
 
-def _onto(grid: DataFrame, axes: GridAxes, variables: Sequence[str], method: str, cluster: str) -> DataFrame:
+def _onto(
+    grid: DataFrame, axes: GridAxes, variables: Sequence[str], method: str, cluster: str, positions: bool = False
+) -> DataFrame:
+    """``positions`` adds lat_idx and lon_idx, which are known here without another join."""
     assert_grid(grid, variables)
     if method not in METHODS:
         raise ValueError(f"unsupported interpolation method {method!r}; use one of {METHODS}")
     if cluster not in ("time", "lane"):
         raise ValueError("cluster must be 'time' or 'lane'")
     if not (axes.size(LAT) and axes.size(LON)):
-        return grid.select(TIME, LAT, LON, *variables).limit(0)
+        none = [F.lit(0).alias(c) for c in ("lat_idx", "lon_idx") if positions]
+        return grid.select(TIME, LAT, LON, *none, *variables).limit(0)
     melted, var = _melt(grid.select(TIME, LAT, LON, *variables), variables)
     placed = _position(_position(melted, axes, LAT, "_iy"), axes, LON, "_ix")
     # Points off the target axes carry no value; they collapse into one marker per timestep,
@@ -123,7 +127,10 @@ def _onto(grid: DataFrame, axes: GridAxes, variables: Sequence[str], method: str
         rows = _fill_lanes(clustered(points, TIME, "_iy"), [TIME, *var, "_iy"], "_ix", axes, LON, method)
         rows = clustered(rows, TIME, "_ix")
     cells = _fill_lanes(rows, [TIME, *var, "_ix"], "_iy", axes, LAT, method)
-    return _unmelt(_coordinates(cells, axes, (LAT, "_iy"), (LON, "_ix")), variables)
+    cells = _coordinates(cells, axes, (LAT, "_iy"), (LON, "_ix"))
+    if not positions:
+        return _unmelt(cells, variables)
+    return _unmelt(cells.withColumnsRenamed({"_iy": "lat_idx", "_ix": "lon_idx"}), variables, ("lat_idx", "lon_idx"))
 
 
 def regrid(
@@ -156,9 +163,18 @@ def reindex(grid: DataFrame, axes: GridAxes, variables: Sequence[str], cluster:
     return _onto(grid, axes, variables, "none", cluster)
 
 
-def densify(grid: DataFrame, variables: Sequence[str], axes: GridAxes | None = None) -> DataFrame:
-    """Every (time, latitude, longitude) of the grid's own axes, NULL where absent."""
-    return reindex(grid, axes or GridAxes.of(grid), variables)
+def densify(
+    grid: DataFrame,
+    variables: Sequence[str],
+    axes: GridAxes | None = None,
+    cluster: str = "time",
+    positions: bool = False,
+) -> DataFrame:
+    """Every (time, latitude, longitude) of the grid's own axes, NULL where absent.
+
+    ``positions`` adds the ascending positions lat_idx and lon_idx.
+    """
+    return _onto(grid, axes or GridAxes.of(grid), variables, "none", cluster, positions)
 
 
 def interpolate_gaps(

@@ -16,16 +16,21 @@ TILE_SIDE = 512
 
 
 def to_tiles(
-    grid: DataFrame, variables: Sequence[str], axes: GridAxes | None = None, size: int = TILE_SIDE
+    grid: DataFrame,
+    variables: Sequence[str],
+    axes: GridAxes | None = None,
+    size: int = TILE_SIDE,
+    cluster: str = "time",
 ) -> DataFrame:
     """(time, tile_y, tile_x, <variable> array<array<double>>): latitude descending, longitude ascending.
 
     Tiles are counted from the north-west corner and hold ``size`` x ``size`` values, those at
     the southern and eastern end what is left.  Missing cells are NULL elements: the grid is made
-    dense on its axes first.
+    dense on its axes first.  ``cluster='time'`` builds the tiles of a timestep where the timestep
+    is; ``'lane'`` spreads a single huge timestep over many tasks.
     """
     axes = axes or GridAxes.of(grid)
-    placed = axis_positions(densify(grid, variables, axes), axes)
+    placed = densify(grid, variables, axes, cluster, positions=True)
     north = F.lit(axes.size(LAT) - 1) - F.col("lat_idx")
     cells = placed.withColumns(
         {"tile_y": F.floor(north / size).cast("int"), "tile_x": F.floor(F.col("lon_idx") / size).cast("int")}
