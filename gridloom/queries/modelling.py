@@ -108,8 +108,10 @@ def tile_scorer(spark, sf):
 
 def _above_neighbours(tile):
     """Departure of every cell from the mean of the present cells of its 3 x 3 neighbourhood."""
-    field = tile.set_index(["lat_idx", "lon_idx"])["t2m"]
-    near = [field.reindex([(y + dy, x + dx) for y, x in field.index]).to_numpy() for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    y, x = (tile[c].to_numpy() - tile[c].min() + 1 for c in ("lat_idx", "lon_idx"))
+    field = np.full((y.max() + 2, x.max() + 2), np.nan)
+    field[y, x] = tile["t2m"]
+    near = [field[y + dy, x + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
     return tile["t2m"] - np.nanmean(near, axis=0)
 
 
