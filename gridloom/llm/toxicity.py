@@ -167,39 +167,64 @@ def features(data: np.ndarray, at: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     return np.column_stack([profile(data, at), extra])
 
 
-def _lexicons(sample: DataFrame) -> list[Lexicon]:
-    """Of the first half, of the second, and of both; ``sample``: (key, text, label, half)."""
+def _term_counts(texts: DataFrame, among: np.ndarray | None = None) -> DataFrame:
+    """(term, n0, n1): groups of near copies with the term, of each half; ``among``: ascending hashes to keep to."""
 
     def run(batches):
         for batch in batches:
-            label, half = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            half = batch.column(1).to_numpy(zero_copy_only=False)
             for row, end, data, at in text_slices(batch.column(0)):
-                low = _lowered(data)
                 whole, begin = shingles(Words(data, at), 3)
-                words = Words(low, at, space=~_LETTER)
+                words = Words(_lowered(data), at, space=~_LETTER)
                 found = _terms(words)
                 for i in range(end - row):
                     mine = np.unique(found[:, words.first[i] : words.first[i + 1]])
-                    group = whole[begin[i] : begin[i + 1]].min() if begin[i + 1] > begin[i] else _U(0)
                     mine = mine[mine != 0]
-                    # A term and its group of near copies; the same pair counts once.
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (mine.view(np.int64), np.full(len(mine), group.astype(np.int64)), np.full(len(mine), label[row + i], np.int32), np.full(len(mine), half[row + i], np.int32))],
-                        ["term", "near", "label", "half"],
-                    )
-
-    pairs = sample.select("text", "label", "half").mapInArrow(run, "term long, near long, label int, half int").distinct()
-    count = lambda label, half: F.sum(((F.col("label") == label) & (F.col("half") == half)).cast("int"))
-    terms = pairs.groupBy("term").agg(*(count(a, b).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)))
-    known = terms.where(F.col("n10") + F.col("n11") >= LEAST_TEXTS).where((F.col("n10") + F.col("n11")) * 2 > F.col("n00") + F.col("n01")).toPandas()
-    term = known["term"].to_numpy(np.int64).view(_U)
+                    if among is not None:
+                        at_ = np.minimum(np.searchsorted(among, mine), max(len(among) - 1, 0))
+                        mine = mine[among[at_] == mine] if len(among) else mine[:0]
+                    if len(mine):
+                        group = whole[begin[i] : begin[i + 1]].min() if begin[i + 1] > begin[i] else _U(0)
+                        yield mine.view(np.int64), np.full(len(mine), group.astype(np.int64)), np.full(len(mine), half[row + i], np.int32)
+
+    def batched(batches):
+        """The texts' terms, some hundred thousand a batch."""
+        held, size = [], 0
+        for part in run(batches):
+            held.append(part)
+            size += len(part[0])
+            if size >= 300_000:
+                yield _columns(held)
+                held, size = [], 0
+        if held:
+            yield _columns(held)
+
+    def _columns(held):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["term", "near", "half"])
+
+    # A term and its group of near copies; the same pair counts once in a half.
+    pairs = texts.select("text", "half").mapInArrow(batched, "term long, near long, half int").distinct()
+    return pairs.groupBy("term").agg(*(F.sum((F.col("half") == h).cast("int")).alias(f"n{h}") for h in (0, 1)))
+
+
+def _lexicons(sample: DataFrame) -> list[Lexicon]:
+    """Of the first half, of the second, and of both; ``sample``: (key, text, label, half).
+
+    Terms of several toxic texts first; the other texts are asked for those alone.
+    """
+    toxic = _term_counts(sample.where("label = 1")).where(F.col("n0") + F.col("n1") >= LEAST_TEXTS).toPandas()
+    term = toxic["term"].to_numpy(np.int64).view(_U)
+    order = np.argsort(term)
+    term, toxic = term[order], toxic.iloc[order]
+    other = _term_counts(sample.where("label = 0"), term).toPandas()
+    at = np.searchsorted(term, other["term"].to_numpy(np.int64).view(_U))
     out = []
     for halves in ((0,), (1,), (0, 1)):
-        toxic, other = (sum(known[f"n{a}{b}"].to_numpy(float) for b in halves) for a in (1, 0))
-        share = (toxic + 0.5) / (toxic + other + 1)
-        good = (toxic >= LEAST_TEXTS) & (share >= LEAST_SHARE)
-        order = np.argsort(term[good])
-        out.append(Lexicon(term[good][order], np.log((toxic + 0.5) / (other + 0.5))[good][order]))
+        n1 = sum(toxic[f"n{h}"].to_numpy(float) for h in halves)
+        n0 = np.zeros(len(term))
+        n0[at] = sum(other[f"n{h}"].to_numpy(float) for h in halves)
+        good = (n1 >= LEAST_TEXTS) & ((n1 + 0.5) / (n1 + n0 + 1) >= LEAST_SHARE)
+        out.append(Lexicon(term[good], np.log((n1 + 0.5) / (n0 + 0.5))[good]))
     return out
 
 
@@ -246,7 +271,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
 
     known = sample.select("key", "text", "label", "half").mapInArrow(run, f"key {dict(sample.dtypes)['key']}, label int, features array<double>")
     known = known.withColumn("fold", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(5)))
-    known = stage(known.withColumn("label", F.col("label").cast("double")), "features")
+    # At most ``rows`` short rows: the trees' many small passes take a few tasks each.
+    known = stage(known.withColumn("label", F.col("label").cast("double")), "features").coalesce(6)
     learn, check = known.where("fold > 0"), known.where("fold = 0")
     kinds = learn.select("label").distinct().count(), check.select("label").distinct().count()
     if kinds[0] < 2:
