@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.operators.align import join_cells, keyed
+from gridloom.operators.align import join_cells, keyed, require_hit
 from gridloom.schema import LAT, LON, TEMPERATURE, TIME, with_cell_keys
 from gridloom.session import stage
 
@@ -53,10 +53,14 @@ class CellLines:
     def fit(cls, samples: DataFrame, x: str = TEMPERATURE, y: str = "label") -> CellLines:
         return cls(stage(cell_regression(samples, x, y), "cell_lines"), x)
 
-    def predict(self, features: DataFrame, output: str = TEMPERATURE, keep: Sequence[str] = ()) -> DataFrame:
-        lines = keyed(self.table, F.col("slope").alias("_slope"), F.col("intercept").alias("_intercept"))
-        joined = join_cells(features, lines, self.table.count(), "inner")
-        return joined.select(TIME, LAT, LON, *keep, (F.col("_slope") * F.col(self.x) + F.col("_intercept")).alias(output))
+    def predict(
+        self, features: DataFrame, output: str = TEMPERATURE, keep: Sequence[str] = (), strict: bool = False
+    ) -> DataFrame:
+        """One row for each row of ``features``, NULL where no line was fitted; ``strict`` raises there."""
+        lines = keyed(self.table, F.col("slope").alias("_slope"), F.col("intercept").alias("_intercept"), F.lit(True).alias("_hit"))
+        joined = join_cells(features, lines, self.table.count(), "left")
+        found = joined.select(TIME, LAT, LON, *keep, (F.col("_slope") * F.col(self.x) + F.col("_intercept")).alias(output), "_hit")
+        return require_hit(found, output, strict, "lines")
 
 
 @dataclass(frozen=True)

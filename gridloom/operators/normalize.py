@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.functions import anomaly, inverse_anomaly, inverse_min_max, min_max
-from gridloom.operators.align import join_cells, keyed
+from gridloom.operators.align import join_cells, keyed, require_hit
 from gridloom.schema import LAT, LON, STATS_CELL, STATS_GLOBAL, TEMPERATURE, assert_grid, with_cell_keys
 from gridloom.session import stage
 
@@ -126,18 +126,22 @@ class AnomalyScaler:
         fitted = {v: stats.scalar(prefix + v) for v in variables}
         return data.withColumns({v: anomaly(v, s["mu"], s["sigma"]) for v, s in fitted.items()})
 
-    def inverse(self, stats: Stats, grid: DataFrame, variable: str, resolution: str) -> DataFrame:
+    def inverse(
+        self, stats: Stats, grid: DataFrame, variable: str, resolution: str, strict: bool = False
+    ) -> DataFrame:
+        """Physical units; a cell without statistics stays, as NULL, or raises if ``strict``."""
         name = f"{resolution}_{variable}"
         if variable == TEMPERATURE:
-            return self._per_cell(stats, grid, name, inverse_anomaly)
+            return self._per_cell(stats, grid, name, inverse_anomaly, "left", strict)
         fitted = stats.scalar(name)
         return grid.withColumn(variable, inverse_anomaly(variable, fitted["mu"], fitted["sigma"]))
 
     @staticmethod
-    def _per_cell(stats: Stats, grid: DataFrame, name: str, fn) -> DataFrame:
+    def _per_cell(stats: Stats, grid: DataFrame, name: str, fn, how: str = "inner", strict: bool = False) -> DataFrame:
         side, rows = stats.cell(name)
-        joined = join_cells(grid, side, rows, "inner")
-        return joined.withColumn(TEMPERATURE, fn(TEMPERATURE, F.col("_mu"), F.col("_sigma"))).drop("_mu", "_sigma")
+        joined = join_cells(grid, side.withColumn("_hit", F.lit(True)), rows, how)
+        joined = joined.withColumn(TEMPERATURE, fn(TEMPERATURE, F.col("_mu"), F.col("_sigma"))).drop("_mu", "_sigma")
+        return require_hit(joined, TEMPERATURE, strict, "statistics")
 
 
 class MinMaxScaler:
@@ -160,8 +164,13 @@ class MinMaxScaler:
         fitted = {v: stats.scalar(prefix + v) for v in variables}
         return data.withColumns({v: min_max(v, s["xmin"], s["xmax"]) for v, s in fitted.items()})
 
-    def inverse(self, stats: Stats, grid: DataFrame, variable: str, resolution: str) -> DataFrame:
-        # Orography shares the statistics of the coarse geopotential field.
+    def inverse(
+        self, stats: Stats, grid: DataFrame, variable: str, resolution: str, strict: bool = False
+    ) -> DataFrame:
+        """Physical units; the scalars cover every cell, so ``strict`` never raises.
+
+        The orography shares the statistics of the coarse geopotential field.
+        """
         name = f"{resolution}_{'z' if variable == 'orog' else variable}"
         fitted = stats.scalar(name)
         return grid.withColumn(variable, inverse_min_max(variable, fitted["xmin"], fitted["xmax"]))

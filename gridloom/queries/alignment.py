@@ -80,18 +80,32 @@ def regrid_static_fields(spark, sf):
     return rg.regrid(tb.static_lr(spark, sf), axes, ["lsm", "z"], cluster="lane")
 
 
-_NEAREST = """SELECT time, latitude, longitude, {v} AS t2m FROM (
-    SELECT g.time, a.latitude, o.longitude, g.t2m, row_number() OVER (PARTITION BY g.time, a.latitude, o.longitude
-      ORDER BY round(abs(g.latitude - a.latitude), 6), g.latitude, round(abs(g.longitude - o.longitude), 6), g.longitude) AS rn
-    FROM (SELECT * FROM grid_lr WHERE time IN (SELECT time FROM grid_lr GROUP BY time HAVING count(*) = 9)) g
-    CROSS JOIN ax_lat a CROSS JOIN ax_lon o) WHERE rn = 1"""
+def _nearest(source: str, lane: str, x: str, axis: str) -> str:
+    """Nearest known point of a lane, the lower one of two equally near; a lone point stays where it is."""
+    return f"""SELECT time, {lane}, {x}, v FROM (
+        SELECT g.time, g.{lane}, h.{x}, g.v, g.n, g.{x} AS x0, row_number() OVER (PARTITION BY g.time, g.{lane}, h.{x}
+          ORDER BY round(abs(g.{x} - h.{x}), 6), g.{x}) AS rn
+        FROM (SELECT *, count(*) OVER (PARTITION BY time, {lane}) AS n FROM {source} WHERE v IS NOT NULL) g CROSS JOIN {axis} h)
+      WHERE CASE WHEN n = 1 THEN {x} = x0 ELSE rn = 1 END"""
 
 
-@query("regrid_nearest", with_ctes(_NEAREST.format(v=r6("t2m")), "hr_noon", "grid_lr", **axes_ctes("hr_noon")))
+@query(
+    "regrid_nearest",
+    with_ctes(
+        f"""SELECT t.time, a.latitude, o.longitude, {r6('p.v')} AS t2m
+            FROM (SELECT DISTINCT time FROM grid_lr) t CROSS JOIN ax_lat a CROSS JOIN ax_lon o
+            LEFT JOIN near2 p ON p.time = t.time AND p.latitude = a.latitude AND p.longitude = o.longitude""",
+        "hr_noon",
+        "grid_lr",
+        **axes_ctes("hr_noon"),
+        known="""SELECT time, latitude, longitude, t2m AS v FROM grid_lr
+            WHERE latitude IN (SELECT latitude FROM ax_lat) AND longitude IN (SELECT longitude FROM ax_lon)""",
+        near1=_nearest("known", "latitude", "longitude", "ax_lon"),
+        near2=_nearest("near1", "longitude", "latitude", "ax_lat"),
+    ),
+)
 def regrid_nearest(spark, sf):
-    coarse = hold(tb.grid_lr(spark, sf))
-    full = coarse.groupBy("time").count().where("count = 9").select("time")
-    return rg.regrid(coarse.join(full, "time", "left_semi"), _noon_axes(spark, sf), ["t2m"], method="nearest")
+    return rg.regrid(tb.grid_lr(spark, sf), _noon_axes(spark, sf), ["t2m"], method="nearest")
 
 
 @query(
@@ -142,15 +156,30 @@ def paired_samples(spark, sf):
     "unpaired_times",
     with_ctes(
         """SELECT coalesce(a.time, b.time) AS time, CASE WHEN b.time IS NULL THEN 'lr' ELSE 'hr' END AS only_in
-           FROM (SELECT DISTINCT time FROM grid_lr WHERE t2m > 280) a FULL JOIN
-                (SELECT DISTINCT time FROM grid_hr WHERE t2m > 299) b ON a.time = b.time
+           FROM (SELECT DISTINCT time FROM grid_lr) a FULL JOIN
+                (SELECT DISTINCT time FROM daily_hr) b ON a.time = b.time
            WHERE a.time IS NULL OR b.time IS NULL""",
-        "grid_hr",
+        "daily_hr",
         "grid_lr",
     ),
 )
 def unpaired_times(spark, sf):
-    return align.unpaired_times(tb.grid_lr(spark, sf).where("t2m > 280"), tb.grid_hr(spark, sf).where("t2m > 299"))
+    """Three-hourly times of the first days of the quarters against daily noons."""
+    return align.unpaired_times(tb.grid_lr(spark, sf), tb.daily_hr(spark, sf))
+
+
+@query(
+    "unpaired_cells",
+    with_ctes(
+        """SELECT *, 'lr' AS only_in FROM (SELECT time, latitude, longitude FROM grid_lr EXCEPT SELECT time, latitude, longitude FROM grid_hr)
+           UNION ALL
+           SELECT *, 'hr' FROM (SELECT time, latitude, longitude FROM grid_hr EXCEPT SELECT time, latitude, longitude FROM grid_lr)""",
+        "grid_hr",
+        "grid_lr",
+    ),
+)
+def unpaired_cells(spark, sf):
+    return align.unpaired_cells(tb.grid_lr(spark, sf), tb.grid_hr(spark, sf))
 
 
 @query(

@@ -81,7 +81,32 @@ def _terrain_samples(spark, sf):
     return join_cells(samples, static, static.count(), "inner")
 
 
-@query("global_linear_with_terrain")
+# Normal equations of three features, solved by determinants.
+_TERRAIN = {
+    **_SAMPLES,
+    "terrain": "SELECT s.*, h.lsm, h.orog FROM samples s JOIN static_hr h ON s.latitude = h.latitude AND s.longitude = h.longitude",
+    "moments": """SELECT var_pop(t2m) AS aa, covar_pop(t2m, lsm) AS ab, covar_pop(t2m, orog) AS ac, var_pop(lsm) AS bb, covar_pop(lsm, orog) AS bc,
+        var_pop(orog) AS cc, covar_pop(t2m, label) AS ay, covar_pop(lsm, label) AS yb, covar_pop(orog, label) AS cy,
+        avg(t2m) AS ma, avg(lsm) AS mb, avg(orog) AS mc, avg(label) AS my
+        FROM terrain WHERE t2m IS NOT NULL AND lsm IS NOT NULL AND orog IS NOT NULL AND label IS NOT NULL""",
+    "weights": """SELECT *, (ay * (bb * cc - bc * bc) - ab * (yb * cc - bc * cy) + ac * (yb * bc - bb * cy)) / det AS wa,
+          (aa * (yb * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - yb * ac)) / det AS wb,
+          (aa * (bb * cy - yb * bc) - ab * (ab * cy - yb * ac) + ay * (ab * bc - bb * ac)) / det AS wc
+        FROM (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM moments)""",
+}
+
+
+@query(
+    "global_linear_with_terrain",
+    with_ctes(
+        f"""SELECT time, latitude, longitude, {r6('my + wa * (t2m - ma) + wb * (lsm - mb) + wc * (orog - mc)')} AS t2m
+            FROM terrain CROSS JOIN weights""",
+        "hr_noon",
+        "lr_noon",
+        "static_hr",
+        **_TERRAIN,
+    ),
+)
 def global_linear_with_terrain(spark, sf):
     samples = hold(_terrain_samples(spark, sf))
     model = md.GlobalLinear.fit(samples, ["t2m", "lsm", "orog"])

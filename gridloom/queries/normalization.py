@@ -162,7 +162,7 @@ def stats_round_trip(spark, sf):
     with_ctes(
         f"""SELECT time, g.latitude, g.longitude, {r6('CASE WHEN h.sigma = 0 THEN NULL ELSE (t2m - h.mu) / h.sigma * l.sigma + l.mu END')} AS t2m
             FROM hr_noon g JOIN h ON g.latitude = h.latitude AND g.longitude = h.longitude
-            JOIN l ON g.latitude = l.latitude AND g.longitude = l.longitude""",
+            LEFT JOIN l ON g.latitude = l.latitude AND g.longitude = l.longitude""",
         "hr_noon",
         "lr_noon",
         h=_cell_stats("hr_noon"),
@@ -170,7 +170,7 @@ def stats_round_trip(spark, sf):
     ),
 )
 def denormalized_dataset(spark, sf):
-    """Fine anomalies restored with the saved coarse statistics of the same cells."""
+    """Fine anomalies restored with the saved coarse statistics of the same cells; cells without them stay, as NULL."""
     coarse, fine = _noon(spark, sf)
     _, normal, stats = nz.normalize_temperature("standardized_anomalies", nz.Stats.empty(spark), coarse, fine)
     path = scratch_path(spark, "stats")

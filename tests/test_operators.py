@@ -401,3 +401,32 @@ def test_concat_warns_about_different_variables(grid):
 def test_unpaired_times(make_grid):
     long, short = make_grid([44.0], [8.0], 3, wave), make_grid([44.0], [8.0], 2, wave)
     assert [tuple(r) for r in align.unpaired_times(long, short).collect()] == [(datetime(2020, 1, 3, 12), "lr")]
+
+
+def test_unmatched_cells_are_listed_or_raise(make_grid):
+    whole = make_grid(LATS[:2], LONS[:2], 2, wave)
+    part = make_grid(LATS[:2], LONS[:2], 2, wave, drop=lambda d, y, x: d == 1 and x > LONS[0])
+    assert align.unpaired_cells(whole, part).count() == 2
+    assert {r.only_in for r in align.unpaired_cells(part, whole).collect()} == {"hr"}
+    assert align.pair_samples(whole, part).count() == 6
+    assert align.pair_samples(whole, whole, strict=True).count() == 8
+    with pytest.raises(ValueError, match="2 cells only left"):
+        align.pair_samples(whole, part, strict=True)
+    with pytest.raises(ValueError, match="2 cells only right"):
+        align.pair_features(part, whole, ["t2m"], "label", strict=True)
+
+
+def test_cells_without_line_or_statistics_stay(spark, make_grid):
+    whole = make_grid(LATS[:2], LONS[:2], 3, wave)
+    part = whole.where(F.col("longitude") < LONS[0] + 0.01)
+    lines = md.CellLines.fit(part.withColumn("label", F.col("t2m") * 2))
+    assert lines.predict(whole).count() == 12 and lines.predict(whole).where("t2m IS NULL").count() == 6
+    with pytest.raises(Exception, match="lines do not cover"):
+        lines.predict(whole, strict=True).collect()
+    scaler = nz.AnomalyScaler()
+    stats = scaler.fit_temperature(nz.Stats.empty(spark), part, part)
+    back = scaler.inverse(stats, whole, "t2m", "lr")
+    assert back.count() == 12 and back.where("t2m IS NULL").count() == 6
+    with pytest.raises(Exception, match="statistics do not cover"):
+        scaler.inverse(stats, whole, "t2m", "lr", strict=True).collect()
+    assert scaler.inverse(stats, part, "t2m", "lr", strict=True).count() == 6
