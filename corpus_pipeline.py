@@ -38,8 +38,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their SentencePiece ids, segmented with merge-dropout."""
-    return pieces.encode(docs)
+    """Documents with their SentencePiece ids, segmented with merge-dropout; copies that mixing made differ."""
+    return pieces.encode(docs, copies=True)
 
 
 STAGES = [

@@ -4,17 +4,21 @@ The vocabulary is that of a public SentencePiece BPE model with byte fallback.
 words that carry the spaces before them (written as the mark U+2581, one of them put before the
 text).  Each word starts as single characters; an agenda holds the candidate merges of neighbours
 whose joint piece is in the vocabulary, best score first, leftmost among equals.  A merge that
-comes up is skipped with probability ``dropout``: if a hash of (seed, word, place, piece) falls below
-it.  The hash depends on nothing else, so a seed gives the same segmentation of a text on every run
-and machine, and other seeds give others.  Without dropout the pieces are those of the model.
+comes up is skipped with probability ``dropout``: if a hash of (seed, document, the word's number in the
+text, word, place, piece) falls below it.  The hash depends on nothing else, so a seed gives the same
+segmentation of a document on every run and machine, while other seeds, other documents and other
+occurrences of a word give others.  A document is its key and its text; ``copies=True`` also tells
+rows that repeat both apart.  Without dropout the pieces are those of the model.
 
 A character outside the vocabulary becomes its UTF-8 bytes, and so does a mark U+2581 that stands in
 the text itself: decoding gives back every text exactly.
 
 A slice of texts is worked through at once: its distinct words are found by hash (and compared byte
 by byte), the agendas of all of them advance together in NumPy arrays, one candidate of each word a
-round, and the ids are laid out by the words' places.  Very long words, and texts that contain the
-mark itself, take the same steps one by one with a heap.
+round, and the ids are laid out by the words' places.  Every occurrence draws for the merges of its
+word's agenda; those that skip one go on with the agenda of (word, rounds skipped), which all
+occurrences with the same skips share.  Longer words have an agenda for each occurrence.  Very long
+words, and texts that contain the mark itself, take the same steps one by one with a heap.
 
 Defined results: a null text has null ids and decodes to null; an empty text has none and decodes to
 the empty text.  Other columns are carried by ``encode``, whatever their names.  No rows in, no rows
@@ -25,12 +29,13 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from gridloom.llm.bytetext import BYTE_VALUE, mix, powers, text_slices
 from gridloom.llm.registry import query, table
@@ -40,7 +45,9 @@ MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 20
 LONG_WORD = 64
-WIDTHS = (4, 6, 8, 10, 12, 16, 24, LONG_WORD)
+#: Words up to this length share agendas: one of n characters has less than 3n rounds, a bit of an int64 each.
+SHARED_WORD = 20
+WIDTHS = (4, 6, 8, 10, 12, 16, SHARED_WORD, 32, LONG_WORD)
 SLICE = 2 << 20
 SPACE = "▁"
 _U = np.uint64
@@ -146,12 +153,17 @@ class Coder:
         h = key ^ (rank.astype(_U) * _U(0x9E3779B97F4A7C15)) ^ (place.astype(_U) * _U(0xC2B2AE3D27D4EB4F))
         return mix(h) < _U(self.below)
 
-    def word(self, word: str) -> list[int]:
-        """Ids of a word written with marks for spaces, by a heap of candidates."""
+    @staticmethod
+    def _salt(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Hash of an occurrence: its document and the number of the word in the text."""
+        return mix(doc ^ mix(number.astype(_U) + _U(1)))
+
+    def word(self, word: str, salt: np.ndarray) -> list[int]:
+        """Ids of an occurrence of a word written with marks for spaces, by a heap of candidates."""
         left, get = list(word), self.rank.get
         n = len(left)
         codes = np.array([ord(c) for c in word])
-        key = self._key(codes, np.array([0]), np.array([n]))
+        key = mix(self._key(codes, np.array([0]), np.array([n])) ^ salt)
         agenda = [(r, i, 2) for i in range(n - 1) if (r := get(left[i] + left[i + 1])) is not None]
         heapq.heapify(agenda)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -180,51 +192,93 @@ class Coder:
                 out.extend([self.vocabulary.bytes[b] for b in piece.encode()] if found is None else [found])
         return out
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of one text, word by word."""
+    def encode(self, text: str, doc: int = 0) -> list[int]:
+        """Ids of one text of the document ``doc``, word by word."""
         out: list[int] = []
+        number = 0
         for n, part in enumerate(text.split(SPACE) if text else []):
             if n:
                 out.extend(self.mark)
             for word in _WORD.findall(part if n else " " + part):
-                out.extend(self.word(word.replace(" ", SPACE)))
+                out.extend(self.word(word.replace(" ", SPACE), self._salt(np.array([doc], _U), np.array([number]))))
+                number += 1
         return out
 
-    def words(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, where each word's begin and the end) of many words given as code points."""
+    def words(self, codes: np.ndarray, starts: np.ndarray, which: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each form's begin and the end, form of each occurrence) of words given as code points.
+
+        ``which`` and ``salt`` are the word and the hash of each occurrence; a form is one segmentation of a word.
+        """
         lengths = np.diff(np.append(starts, len(codes)))
-        key = self._key(codes, starts, lengths)
         piece = self.single[codes]
-        many = np.zeros(len(starts), np.int64)
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        for w in np.flatnonzero(lengths > LONG_WORD).tolist():
+        # Without dropout all occurrences of a word are alike.
+        use = which if self.below else np.arange(len(starts))
+        key = mix(self._key(codes, starts, lengths)[use] ^ salt) if self.below else np.zeros(len(use), _U)
+        size = lengths[use]
+        form = np.zeros(len(use), np.int64)
+        done: list[np.ndarray] = []
+        n = 0
+
+        def grid_of(words: np.ndarray, most: int) -> np.ndarray:
+            place = starts[words][:, None] + np.arange(most)
+            inside = np.arange(most) < lengths[words][:, None]
+            return np.where(inside, piece[np.minimum(place, len(piece) - 1)], _GONE)
+
+        for o in np.flatnonzero(size > LONG_WORD).tolist():
+            w = use[o]
             text = "".join(map(chr, codes[starts[w] : starts[w] + lengths[w]].tolist()))
-            ids = np.array([self.word(text)], np.int64)
-            done.append((np.array([w]), ids))
+            done.append(np.array([self.word(text, salt[o : o + 1])], np.int64))
+            form[o] = n
+            n += 1
         least = 0
         for most in WIDTHS:
-            mine = np.flatnonzero((lengths > least) & (lengths <= most))
+            mine = np.flatnonzero((size > least) & (size <= most))
             least = most
-            if len(mine):
-                place = starts[mine][:, None] + np.arange(most)
-                inside = np.arange(most) < lengths[mine][:, None]
-                grid = np.where(inside, piece[np.minimum(place, len(piece) - 1)], _GONE)
+            if not len(mine):
+                continue
+            if not self.below or most > SHARED_WORD:
+                grid = grid_of(use[mine], most)
                 self._merge(grid, key[mine])
-                done.append((mine, grid))
-        for mine, grid in done:
-            many[mine] = (grid != _GONE).sum(1)
+                done.append(grid)
+                form[mine] = n + np.arange(len(mine))
+                n += len(mine)
+                continue
+            # An agenda is a word and the rounds it skips; the occurrences that have it draw for its later rounds.
+            word, agenda = np.unique(use[mine], return_inverse=True)
+            skips, since = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+            while len(mine):
+                grid = grid_of(word, most)
+                rounds = self._merge(grid, skips=skips)
+                done.append(grid)
+                form[mine] = n + agenda
+                n += len(word)
+                cut = np.full(len(mine), -1)
+                on = np.arange(len(mine))
+                for t, (top, at) in enumerate(rounds):
+                    on = on[top[agenda[on]] >= 0]
+                    draw = on[since[agenda[on]] <= t]
+                    mark = agenda[draw]
+                    cut[draw[self._skipped(key[mine[draw]], top[mark], at[mark])]] = t
+                    on = on[cut[on] < 0]
+                again = np.flatnonzero(cut >= 0)
+                next_, agenda = np.unique(agenda[again] << 6 | cut[again], return_inverse=True)
+                mine, old, since = mine[again], next_ >> 6, next_ & 63
+                word, skips = word[old], skips[old] | np.int64(1) << since
+                since = since + 1
+        many = np.concatenate([(grid != _GONE).sum(1) for grid in done])
         bounds = np.concatenate([[0], np.cumsum(many)])
-        ids = np.empty(bounds[-1], np.int64)
-        for mine, grid in done:
-            kept = grid != _GONE
-            ids[(bounds[mine][:, None] + np.cumsum(kept, 1) - 1)[kept]] = grid[kept]
-        return self._spelled(ids, bounds)
+        ids = np.concatenate([grid[grid != _GONE] for grid in done])
+        ids, bounds = self._spelled(ids, bounds)
+        return ids, bounds, form if self.below else form[which]
 
-    def _merge(self, grid: np.ndarray, key: np.ndarray) -> None:
+    def _merge(self, grid: np.ndarray, key: np.ndarray | None = None, skips: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Advance the agendas of all words (rows of ``grid``) together, in place.
 
-        In each round every word takes its best candidate: the least rank, the leftmost one.
+        In each round every word takes its best candidate: the least rank, the leftmost one.  It is skipped by
+        the hash of the row's ``key``, or if ``skips`` has the round's bit; then the candidates (rank, place) of
+        all rows are returned for each round, rank -1 where a row has come to its end.
         """
+        rounds: list[tuple[np.ndarray, np.ndarray]] = []
         n, width = grid.shape
         rank = np.full((n, width), _NONE, np.int32)
         rank[:, :-1] = self.merges.rank(grid[:, :-1].ravel(), grid[:, 1:].ravel(), _NONE).reshape(n, width - 1)
@@ -243,8 +297,11 @@ class Coder:
                 if not len(live):
                     break
             row, at, top = rows, best, top.astype(np.int64)
+            if skips is not None:
+                rounds.append((np.full(n, -1, np.int32), np.zeros(n, np.int8)))
+                rounds[-1][0][live], rounds[-1][1][live] = top, at
             if self.below:
-                skip = self._skipped(key[live], top, at)
+                skip = self._skipped(key[live], top, at) if skips is None else (skips[live] >> np.int64(len(rounds) - 1) & 1).astype(bool)
                 rank[row[skip], at[skip]] = _NONE
                 row, at, top = row[~skip], at[~skip], top[~skip]
             gone = after[row, at].astype(np.int64)
@@ -263,6 +320,7 @@ class Coder:
             has = left >= 0
             r, a, b = row[has], left[has], at[has]
             rank[r, a] = self.merges.rank(work[r, a], work[r, b], _NONE)
+        return rounds
 
     def _spelled(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece as their bytes."""
@@ -277,9 +335,10 @@ class Coder:
         out[np.repeat(ends[odd], times[odd]) + np.concatenate([np.arange(len(x)) for x in spelled])] = [i for x in spelled for i in x]
         return out, ends[bounds]
 
-    def encode_slice(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, where each row's begin and the end) of a slice of texts as bytes."""
+    def encode_slice(self, data: np.ndarray, at: np.ndarray, docs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each row's begin and the end) of a slice of texts as bytes; ``docs`` are hashes of their documents."""
         rows = len(at) - 1
+        docs = np.zeros(rows, _U) if docs is None else docs
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(rows + 1, np.int64)
         filled = np.flatnonzero(at[:-1] < at[1:])
@@ -296,8 +355,7 @@ class Coder:
         like = data[np.repeat(start[first][which], length) + place] if (length == length[first][which]).all() else None
         marked = (data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
         if like is None or (like != data).any() or marked.any() or (heads != heads[first][which]).any():
-            lists = [np.array(self.encode(data[a:b].tobytes().decode("utf-8", "replace")), np.int32) for a, b in zip(at[:-1], at[1:], strict=True)]
-            return np.concatenate(lists), np.cumsum([0, *map(len, lists)])
+            return self._one_by_one(data, at, docs)
         # The distinct words, one after another, those that begin a row with a space before them.
         size = length[first]
         put = np.cumsum(size) - size
@@ -307,20 +365,44 @@ class Coder:
         begins = np.cumsum((held & 0xC0) != 0x80) - 1
         begins = begins[put]
         if begins[-1] >= len(codes) or int(((held & 0xC0) != 0x80).sum()) != len(codes):
-            lists = [np.array(self.encode(data[a:b].tobytes().decode("utf-8", "replace")), np.int32) for a, b in zip(at[:-1], at[1:], strict=True)]
-            return np.concatenate(lists), np.cumsum([0, *map(len, lists)])
+            return self._one_by_one(data, at, docs)
         lead = heads[first]
         codes = np.insert(np.where(codes == 32, ord(SPACE), codes), begins[lead], ord(SPACE))
-        ids, bounds = self.words(codes, begins + np.cumsum(lead) - lead)
-        many = np.diff(bounds)[which]
+        number = np.arange(len(start)) - np.searchsorted(start, at[:-1])[row]
+        ids, bounds, form = self.words(codes, begins + np.cumsum(lead) - lead, which, self._salt(docs[row], number))
+        many = np.diff(bounds)[form]
         ends = np.concatenate([[0], np.cumsum(many)])
-        out = ids[np.arange(ends[-1]) - np.repeat(ends[:-1] - bounds[:-1][which], many)]
+        out = ids[np.arange(ends[-1]) - np.repeat(ends[:-1] - bounds[:-1][form], many)]
         return out.astype(np.int32), ends[np.searchsorted(start, at)]
 
+    def _one_by_one(self, data: np.ndarray, at: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+        lists = [np.array(self.encode(t, d), np.int32) for t, d in zip(texts, docs.tolist(), strict=True)]
+        return np.concatenate(lists), np.cumsum([0, *map(len, lists)])
+
     def decode(self, ids) -> str:
         plain = self.plain
         return b"".join([plain[i] for i in ids])[1:].decode("utf-8", "replace") if len(ids) else ""
 
+    def decode_lists(self, lists: pa.Array) -> pa.Array:
+        """Texts of an array of lists of ids; a null list gives a null text."""
+        at = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64)
+        pieces = pa.array(self.plain, pa.large_binary()).take(lists.values.slice(at[0], at[-1] - at[0]))
+        _, ends, data = pieces.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(pieces) + 1]
+        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        # The first piece of a text begins with the mark put before it.
+        first = ends[at[:-1] - at[0]][at[:-1] < at[1:]]
+        kept = np.delete(raw[: ends[-1]], first)
+        bounds = ends[at - at[0]] - np.concatenate([[0], np.cumsum(at[:-1] < at[1:])])
+        gone = np.packbits(lists.is_valid().to_numpy(zero_copy_only=False), bitorder="little")
+        out = pa.Array.from_buffers(pa.large_string(), len(lists), [pa.py_buffer(gone), pa.py_buffer(bounds), pa.py_buffer(kept)])
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:
+            return pa.array([None if x is None else self.decode(x) for x in lists.to_pylist()], pa.large_string())
+        return out
+
 
 _CODERS: dict[tuple, Coder] = {}
 
@@ -335,18 +417,36 @@ def coder_of(path: str, seed: int, dropout: float) -> Coder:
 
 
 def encode(
-    docs: DataFrame, text: str = "text", seed: int = SEED, dropout: float = DROPOUT, folder: str = TOKENIZERS, model: str = MODEL, into: str = "ids"
+    docs: DataFrame,
+    text: str = "text",
+    seed: int = SEED,
+    dropout: float = DROPOUT,
+    folder: str = TOKENIZERS,
+    model: str = MODEL,
+    into: str = "ids",
+    key: str = "doc_id",
+    copies: bool = False,
 ) -> DataFrame:
-    """``docs`` with the array column ``into``: the ids of each text; an old column of that name goes."""
+    """``docs`` with the array column ``into``: the ids of each text; an old column of that name goes.
+
+    ``copies`` numbers the rows that repeat ``key`` and text, so that each has draws of its own.
+    """
     held = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() != into.lower()))
     place, path = held.columns.index(text), str(Path(folder, model))
     schema = T.StructType([*held.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
+    doc = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    if copies:
+        row = F.xxhash64(*(F.col(f"`{c}`") for c in held.columns))
+        doc = F.xxhash64(doc, F.row_number().over(Window.partitionBy(doc).orderBy(row)))
+    held = held.select("*", doc.alias("doc" + "_" * max(map(len, held.columns))))
 
     def run(batches):
         coder = coder_of(path, seed, dropout)
         for batch in batches:
+            docs_of = batch.column(batch.num_columns - 1).to_numpy().view(_U)
+            batch = batch.select(range(batch.num_columns - 1))
             for row, end, data, at in text_slices(batch.column(place), SLICE):
-                ids, ends = coder.encode_slice(data, at)
+                ids, ends = coder.encode_slice(data, at, docs_of[row:end])
                 part = batch.slice(row, end - row)
                 gone = pa.array(part.column(place).is_null().to_numpy(zero_copy_only=False))
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=gone)
@@ -364,14 +464,30 @@ def decode(rows: DataFrame, ids: str = "ids", folder: str = TOKENIZERS, model: s
     def run(batches):
         coder = coder_of(path, 0, 0.0)
         for batch in batches:
-            texts = [None if x.as_py() is None else coder.decode(x.as_py()) for x in batch.column(place)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
+            for row, end in _list_slices(batch.column(place)):
+                part = batch.slice(row, end - row)
+                texts = coder.decode_lists(part.column(place)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, into])
 
     return held.mapInArrow(run, schema)
 
 
+def _list_slices(lists: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of slices that end with the row that reaches SLICE ids."""
+    if not len(lists):
+        return
+    at = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64)
+    row = 0
+    while row < len(lists):
+        end = max(row + 1, int(np.searchsorted(at, at[row] + SLICE, "right")) - 1)
+        yield row, end
+        row = end
+
+
 @query("op8_sentencepiece")
 def sentencepiece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = encode(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_pieces"), "ids")
+    n_chars, n_pieces = F.char_length("text").cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_pieces")
+    back = decode(out.select("doc_id", n_chars, n_pieces, "ids"))
+    return back.select("doc_id", "n_chars", "n_pieces", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
