@@ -29,7 +29,7 @@ not yet connected are compared with each other, and the folded sketch is a condi
 Defined results: a null text or one without words has an empty set, is linked with nothing and is
 its own component (component_id is its own doc_id).  A text with fewer words than a shingle has
 its whole sequence as its one shingle.  component_id is the smallest doc_id of the component; null
-doc_ids are ignored there, and rows that repeat a doc_id are treated by their texts.  No rows in,
+doc_ids are ignored there (their texts are linked like any others), and rows that repeat a doc_id are treated by their texts.  No rows in,
 no rows out.  Only the text and key columns are read.
 """
 
@@ -197,10 +197,14 @@ def _verified(pairs: DataFrame, given: DataFrame, classes: DataFrame, k: int, pe
     """Pairs (a, b) whose shingles reach the threshold; only the texts of these sets are read again."""
     pairs = stage(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    nodes = stage(nodes.join(classes.select("node", F.col("first").alias("key")), "node"), "nodes")
-    few = broadcast_if_small(nodes.select("key").distinct(), nodes.count())
-    sets = given.join(few, "key", "left_semi").mapInArrow(_members_of(k), "node long, found array<long>")
-    sets = stage(sets, "members")
+    nodes = stage(nodes.join(classes.select("node", F.col("first").alias("key"), "mark"), "node"), "nodes")
+    many = nodes.count()
+    few = broadcast_if_small(nodes.where("key IS NOT NULL").select("key").distinct(), many)
+    # A set whose documents all have no key is found by the mark of a text; copies of that are read once.
+    bare = broadcast_if_small(nodes.where("key IS NULL").select("mark").distinct(), many)
+    bare = given.where("key IS NULL").join(bare, "mark", "left_semi").dropDuplicates(["text"]).select("key", "text", "mark")
+    texts = given.join(few, "key", "left_semi").select("key", "text", "mark").union(bare)
+    sets = stage(texts.mapInArrow(_members_of(k), "node long, found array<long>"), "members")
     left = sets.select(F.col("node").alias("a"), F.col("found").alias("a_found"))
     right = sets.select(F.col("node").alias("b"), F.col("found").alias("b_found"))
     both = F.size(F.array_intersect("a_found", "b_found"))
@@ -219,7 +223,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, p
     given = given.withColumn("mark", F.xxhash64("text"))
     kind = dict(given.dtypes)["key"]
     rows = stage(given.mapInArrow(_classes_of(k), f"key {kind}, mark long, n long, node long, fold array<long>"), "sets")
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("fold").alias("fold"))
+    classes = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("first"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("fold").alias("fold"))
     classes = stage(classes, "classes")
 
     # Copies of a set need no keys of their own: one document stands for the class.
