@@ -41,18 +41,11 @@ def _rows(docs: DataFrame, text: str, key: str, salts: int, *more: Column) -> Da
 def decisions(docs: DataFrame, text: str = "text", key: str = "doc_id", salts: int = SALTS) -> DataFrame:
     """(key, keep_key, group_size, kept, digest) for every row of ``docs``."""
     rows = _rows(docs, text, key, salts)
-    groups = stage(
-        _winners(
-            rows,
-            {"keep_key": F.max("key"), "n": F.count("*")},
-            {"keep_key": F.max("keep_key"), "n": F.sum("n")},
-        )
-        # A text that occurs once needs nothing from its group.
-        .where("n > 1")
-        .select("digest", "text", "keep_key", "n"),
-        "copies",
-    )
-    clash = groups.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
+    won = _winners(rows, {"keep_key": F.max("key"), "n": F.count("*")}, {"keep_key": F.max("keep_key"), "n": F.sum("n")})
+    # A text that occurs once needs nothing from its group but its digest, which a copied text may share.
+    won = stage(won.select("digest", F.when(F.col("n") > 1, F.col("text")).alias("text"), "keep_key", "n"), "copies")
+    groups = won.where("n > 1")
+    clash = won.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
     if clash.isEmpty():
         found = groups.select(F.col("digest").alias("d"), "keep_key", "n")
         out = rows.join(found, F.col("digest") == F.col("d"), "left")
