@@ -29,6 +29,12 @@ def densify_grid(spark, sf):
     return rg.densify(hold(at_times(tb.grid_hr(spark, sf))), ["t2m"])
 
 
+@query("densify_grid_whole", with_ctes(_dense("grid_hr"), "grid_hr", **axes_ctes("grid_hr")))
+def densify_grid_whole(spark, sf):
+    """All timesteps of the grid."""
+    return rg.densify(hold(tb.grid_hr(spark, sf)), ["t2m"])
+
+
 _REGRIDDED = f"SELECT time, latitude, longitude, {r6('t2m')} AS t2m FROM rg"
 
 
@@ -123,6 +129,22 @@ def gap_fill_along_longitude(spark, sf):
     return rg.interpolate_gaps(hold(at_times(tb.grid_hr(spark, sf))), "longitude", "t2m")
 
 
+@query(
+    "gap_fill_along_longitude_whole",
+    with_ctes(
+        f"""SELECT d.time, d.latitude, o.longitude, {r6('p.v')} AS t2m FROM
+            (SELECT DISTINCT time, latitude FROM grid_hr) d CROSS JOIN ax_lon o LEFT JOIN rg_p1 p
+            ON p.time = d.time AND p.latitude = d.latitude AND p.longitude = o.longitude""",
+        "grid_hr",
+        **axes_ctes("grid_hr"),
+        **{k: v for k, v in regrid_ctes("grid_hr", "ax_lat", "ax_lon").items() if k in ("rg_on", "rg_k1", "rg_p1")},
+    ),
+)
+def gap_fill_along_longitude_whole(spark, sf):
+    """All timesteps of the grid."""
+    return rg.interpolate_gaps(hold(tb.grid_hr(spark, sf)), "longitude", "t2m")
+
+
 @query(
     "combine_static_features",
     with_ctes(

@@ -131,6 +131,18 @@ def tile_scorer(spark, sf):
     return score_tiles(at_times(tb.grid_hr(spark, sf)), lambda tile: tile["t2m"] - tile["t2m"].max(), ["t2m"], size=None)
 
 
+@query(
+    "tile_scorer_whole",
+    with_ctes(
+        f"""SELECT time, latitude, longitude, {r6('t2m - max(t2m) OVER (PARTITION BY time)')} AS t2m FROM grid_hr""",
+        "grid_hr",
+    ),
+)
+def tile_scorer_whole(spark, sf):
+    """The same for all timesteps of the grid."""
+    return score_tiles(tb.grid_hr(spark, sf), lambda tile: tile["t2m"] - tile["t2m"].max(), ["t2m"], size=None)
+
+
 def _above_neighbours(tile):
     """Departure of every cell from the mean of the present cells of its 3 x 3 neighbourhood."""
     y, x = (tile[c].to_numpy() - tile[c].min() + 1 for c in ("lat_idx", "lon_idx"))
@@ -163,6 +175,15 @@ def row_scorer(spark, sf):
     return score_rows(at_times(tb.grid_hr(spark, sf)), lambda rows: 0.5 * rows["t2m"] + 140, ["t2m"])
 
 
+@query(
+    "row_scorer_whole",
+    with_ctes(f"SELECT time, latitude, longitude, {r6('0.5e0 * t2m + 140')} AS t2m FROM grid_hr", "grid_hr"),
+)
+def row_scorer_whole(spark, sf):
+    """The same for all timesteps of the grid."""
+    return score_rows(tb.grid_hr(spark, sf), lambda rows: 0.5 * rows["t2m"] + 140, ["t2m"])
+
+
 @query(
     "run_grid_losses",
     with_ctes(

@@ -167,6 +167,14 @@ def tile_layout(spark, sf):
     return tile_cells(to_tiles(hold(sel.at_times(tb.grid_hr(spark, sf))), ["t2m"]))
 
 
+@query(
+    "tile_layout_whole", with_ctes(_TILE_SQL.format(v=r6("h.t2m")).replace("hr_noon", "grid_hr"), "grid_hr", **axes_ctes("grid_hr"))
+)
+def tile_layout_whole(spark, sf):
+    """All timesteps of the grid."""
+    return tile_cells(to_tiles(hold(tb.grid_hr(spark, sf)), ["t2m"]))
+
+
 @query(
     "tile_round_trip_small_tiles",
     with_ctes(
@@ -200,6 +208,23 @@ def tile_round_trip(spark, sf):
     return from_tiles(to_tiles(noon, ["t2m"], axes), axes)
 
 
+@query(
+    "tile_round_trip_whole",
+    with_ctes(
+        f"""SELECT t.time, a.latitude, o.longitude, {r6('h.t2m')} AS t2m
+            FROM (SELECT DISTINCT time FROM grid_hr) t CROSS JOIN ax_lat a CROSS JOIN ax_lon o
+            LEFT JOIN grid_hr h ON h.time = t.time AND h.latitude = a.latitude AND h.longitude = o.longitude""",
+        "grid_hr",
+        **axes_ctes("grid_hr"),
+    ),
+)
+def tile_round_trip_whole(spark, sf):
+    """All timesteps of the grid."""
+    grid = hold(tb.grid_hr(spark, sf))
+    axes = ax.GridAxes.of(grid)
+    return from_tiles(to_tiles(grid, ["t2m"], axes), axes)
+
+
 @query(
     "axis_position_columns",
     with_ctes(
@@ -269,6 +294,20 @@ def concat_along_time(spark, sf):
     return sel.concat_times(grid.where(F.hour("time") == 6), grid.where(F.hour("time") <= 12))
 
 
+@query(
+    "concat_along_time_whole",
+    with_ctes(
+        f"""SELECT {CELLS} FROM grid_hr WHERE extract(hour FROM time) <= 12 UNION ALL SELECT {CELLS} FROM grid_hr
+            WHERE extract(hour FROM time) >= 6""",
+        "grid_hr",
+    ),
+)
+def concat_along_time_whole(spark, sf):
+    """Two overlapping pieces that together cover the grid."""
+    grid = tb.grid_hr(spark, sf)
+    return sel.concat_times(grid.where(F.hour("time") <= 12), grid.where(F.hour("time") >= 6))
+
+
 @query(
     "dataset_size_report",
     with_ctes(
