@@ -2,6 +2,7 @@
 
 from gridloom.llm import (  # noqa: F401
     exact_dedup,
+    filteraudit,
     fingerprints,
     jaccard_join,
     langid,
@@ -9,7 +10,9 @@ from gridloom.llm import (  # noqa: F401
     packing,
     pieces,
     quality,
+    sourceaudit,
     toxicity,
+    urlrules,
     warc,
 )
 from gridloom.llm.registry import QUERIES, SQL
