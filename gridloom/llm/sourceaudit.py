@@ -1,10 +1,10 @@
 """Source divergence audit: how far the term distributions of a language's sources lie apart.
 
 **Late string materialization.**  A task splits its texts into terms and sums them by group and term
-(``term_counts``).  What is shuffled for the counts has a fixed width a term: a 64-bit digest in place of the
-string.  Beside it runs one small aggregate, the least and the greatest string of each digest that is kept; where
-the two differ the digest stands for several strings, and its counts are taken again with the string beside it.
-Strings are joined back for the rows of the ``term`` report alone.
+(``term_counts``).  Only a 64-bit digest of fixed width leaves the task for a term, never its string.  A second
+aggregate finds the least and the greatest string of each digest that is kept; where the two differ the digest
+stands for several strings, and its counts are taken again with the string beside it.  Strings are joined back
+for the rows of the ``term`` report alone.
 
 **Terms and probabilities.**  Terms are runs of ASCII letters and of characters outside ASCII, A-Z lower-cased.
 A language keeps the terms that at least ``least`` of its documents hold.  The smoothed probability of a kept term
@@ -23,14 +23,14 @@ rows in, no rows out.  Other columns are neither read nor changed.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from gridloom.llm.bytetext import LOWER, text_slices
+from gridloom.llm.bytetext import BYTE_VALUE, LOWER, mix, powers, text_slices
 from gridloom.llm.registry import query, table
 from gridloom.session import broadcast_if_small, broadcast_limit, stage
 
@@ -39,15 +39,26 @@ SCALE_DIGITS = 9
 TOP = 50
 #: Sources and (about) terms of a matrix.
 TILE, BLOCK_TERMS = 256, 1024
-SLICE = 1 << 20
+SLICE = 8 << 20
+
+Digests = Callable[[pa.StringArray], np.ndarray]
 
 _GAP = np.ones(256, bool)
 _GAP[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _KEY = ["lang", "digest", "split"]
 
 
-def digest(term: Column) -> Column:
-    return F.xxhash64(term)
+def digests(terms: pa.StringArray) -> np.ndarray:
+    """64-bit digests of strings that are not empty."""
+    if not len(terms):
+        return np.zeros(0, np.int64)
+    _, ends, data = terms.buffers()
+    at = np.frombuffer(ends, np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    length = np.diff(at)
+    place = np.arange(len(raw)) - np.repeat(at[:-1] - at[0], length)
+    sums = np.add.reduceat(BYTE_VALUE[raw] * powers(int(length.max()))[place], at[:-1] - at[0])
+    return mix(sums + mix(length.astype(np.uint64))).view(np.int64)
 
 
 def _terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -68,8 +79,11 @@ def _terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return row, pa.StringArray.from_buffers(len(begin), pa.py_buffer(ends), pa.py_buffer(kept.tobytes()))
 
 
-def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term, n, docs): summed within slices of about SLICE bytes of the tasks' texts."""
+def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", strings: bool = False, hashed: Digests = digests) -> DataFrame:
+    """(lang, source, digest, n, docs): summed within slices of about SLICE bytes of the tasks' texts.
+
+    ``strings`` adds the term, one row for each term of a slice.
+    """
 
     def run(batches):
         for batch in batches:
@@ -85,20 +99,32 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
                 size = len(coded.dictionary)
                 in_row, n = np.unique(row * size + coded.indices.to_numpy(), return_counts=True)
                 pair, back = np.unique(group[first + in_row // size] * size + in_row % size, return_inverse=True)
-                of = pair // size
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        langs.dictionary.take(pa.array(of // many)), sources.dictionary.take(pa.array(of % many)), coded.dictionary.take(pa.array(pair % size)),
-                        pa.array(np.bincount(back, weights=n).astype(np.int64)), pa.array(np.bincount(back)),
-                    ],
-                    ["lang", "source", "term", "n", "docs"],
-                )
+                of, term = pair // size, pair % size
+                columns = {
+                    "lang": langs.dictionary.take(pa.array(of // many)), "source": sources.dictionary.take(pa.array(of % many)), "digest": pa.array(hashed(coded.dictionary)[term]),
+                    "n": pa.array(np.bincount(back, weights=n).astype(np.int64)), "docs": pa.array(np.bincount(back)),
+                }
+                if strings:
+                    columns["term"] = coded.dictionary.take(pa.array(term))
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return _read(docs, text, lang, source).mapInArrow(run, "lang string, source string, digest long, n long, docs long" + ", term string" * strings)
+
+
+def term_strings(docs: DataFrame, text: str = "text", hashed: Digests = digests) -> DataFrame:
+    """(digest, term): every term at least once."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, data, at in text_slices(batch.column(0), SLICE):
+                terms = _terms(data, at)[1].unique()
+                yield pa.RecordBatch.from_pydict({"digest": pa.array(hashed(terms)), "term": terms})
 
-    return _read(docs, text, lang, source).mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return _read(docs, text).mapInArrow(run, "digest long, term string")
 
 
 def _read(docs: DataFrame, *columns: str) -> DataFrame:
-    return docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(k) for c, k in zip(columns, ("text", "lang", "source"), strict=True)))
+    return docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(k) for c, k in zip(columns, ("text", "lang", "source"))))  # noqa: B905
 
 
 def scaled_share(part: Column, whole: Column, digits: int = SCALE_DIGITS) -> Column:
@@ -115,18 +141,17 @@ def scaled_share(part: Column, whole: Column, digits: int = SCALE_DIGITS) -> Col
 class Audit:
     """The counted tables of a corpus, from which both reports come."""
 
-    def __init__(self, docs: DataFrame, least: int = LEAST_DOCUMENTS, text: str = "text", lang: str = "lang", source: str = "source"):
-        found = stage(term_counts(docs, text, lang, source).withColumn("digest", digest(F.col("term"))), "terms")
-        counts, kept, self.strings = _kept_terms(found, least)
-        self.kept_rows = kept.count()
-        blocks = max(1, math.ceil(self.kept_rows / BLOCK_TERMS))
-        kept = kept.withColumnRenamed("n", "lang_n").withColumn("block", F.pmod(F.xxhash64("digest", "split"), F.lit(blocks)).cast("int"))
+    def __init__(self, docs: DataFrame, least: int = LEAST_DOCUMENTS, text: str = "text", lang: str = "lang", source: str = "source", hashed: Digests = digests):
+        counts, kept, self.strings = _kept_terms(docs, least, text, lang, source, hashed)
+        langs = stage(kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count("*").alias("v")), "langs")
+        blocks = broadcast_if_small(langs.select("lang", F.ceil(F.col("v") / BLOCK_TERMS).alias("blocks")), langs.count())
+        block = F.pmod(F.xxhash64("digest", "split"), F.col("blocks")).cast("int").alias("block")
         #: (lang, digest, split, lang_n, block)
-        self.kept = stage(kept, "kept")
+        self.kept = stage(kept.join(blocks, "lang").select("lang", "digest", "split", F.col("n").alias("lang_n"), block), "kept")
+        self.kept_rows = self.kept.count()
         held = counts.join(broadcast_if_small(self.kept, self.kept_rows), _KEY)
         #: (lang, source, digest, split, block, n, lang_n): the kept terms that a group has.
         self.cells = stage(held.select("lang", "source", "digest", "split", "block", "n", "lang_n"), "cells")
-        langs = self.kept.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count("*").alias("v"))
         totals = self.cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
         groups = _read(docs, text, lang, source).select("lang", "source").distinct()
         groups = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["total", "lang_total", "v"])
@@ -199,22 +224,23 @@ def _strings(found: DataFrame, kept: DataFrame) -> DataFrame:
     return stage(held, "strings")
 
 
-def _kept_terms(found: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _kept_terms(docs: DataFrame, least: int, text: str, lang: str, source: str, hashed: Digests) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Counts (lang, source, digest, split, n, docs), kept terms (lang, digest, split, n) and their strings (digest, split, item).
 
-    ``split`` is empty but for digests of several strings, where it is the string.
+    ``split`` is empty but for digests of several strings, where it is the string.  The texts are read twice,
+    for the counts and for the strings, which costs less than writing the terms of all tasks.
     """
-    counts = _counts(found.drop("term").withColumn("split", F.lit("")))
+    counts = _counts(term_counts(docs, text, lang, source, hashed=hashed).withColumn("split", F.lit("")))
     kept = _kept(counts, least)
-    ends = _strings(found, kept)
+    ends = _strings(term_strings(docs, text, hashed), kept)
     clash = stage(ends.where("least < greatest").select("digest"), "clashes")
     if clash.isEmpty():
         return counts, kept, ends.select("digest", F.lit("").alias("split"), F.col("least").alias("item"))
-    several = found.join(clash, "digest", "left_semi").withColumn("split", F.col("term"))
-    counts = stage(counts.join(clash, "digest", "left_anti").unionByName(_counts(several.drop("term"))), "counts")
+    several = term_counts(docs, text, lang, source, True, hashed).join(clash, "digest", "left_semi").withColumnRenamed("term", "split")
+    apart = _counts(several)
+    counts = stage(counts.join(clash, "digest", "left_anti").unionByName(apart), "counts")
     single = ends.where("least = greatest").select("digest", F.lit("").alias("split"), F.col("least").alias("item"))
-    named = several.select("digest", "split", F.col("term").alias("item")).distinct()
-    return counts, _kept(counts, least), single.unionByName(named)
+    return counts, _kept(counts, least), single.unionByName(apart.select("digest", "split", F.col("split").alias("item")).distinct())
 
 
 def _distances(held: pa.Table) -> pa.Table:

@@ -3,6 +3,8 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from gridloom.llm import sourceaudit
 from pyspark.sql import functions as F
@@ -60,9 +62,18 @@ def test_divergence_by_plain_loops(docs, least, top):
     assert rows_of(found) == brute(texts(), least, top) and found.count() == len(rows_of(found))
 
 
-def test_clashing_digests_are_split(docs, monkeypatch):
-    monkeypatch.setattr(sourceaudit, "digest", lambda term: F.pmod(F.xxhash64(term), F.lit(3)))
-    assert rows_of(sourceaudit.divergence(docs, 3, 4)) == brute(texts(), 3, 4)
+def test_clashing_digests_are_split(docs):
+    audit = sourceaudit.Audit(docs, 3, hashed=lambda terms: np.array([len(t) % 3 for t in terms.to_pylist()], np.int64))
+    for found, part in ((audit.pairs(), "pair"), (audit.terms(4), "term")):
+        assert rows_of(found.withColumn("part", F.lit(part))) == {r for r in brute(texts(), 3, 4) if r[2] == part}
+    assert audit.cells.where("split <> ''").count() > 0
+
+
+def test_digests_follow_the_string_alone():
+    words = ["a", "é", "ab", "ba", "a" * 300, "b", "a"]
+    found = sourceaudit.digests(pa.array(words))
+    assert found[0] == found[6] and len(set(found)) == 6
+    assert list(sourceaudit.digests(pa.array(words).slice(2, 3))) == list(found[2:5]) and len(sourceaudit.digests(pa.array([], pa.string()))) == 0
 
 
 def test_small_tiles_and_blocks(docs, monkeypatch):
