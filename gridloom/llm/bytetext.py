@@ -14,7 +14,8 @@ LOWER[65:91] += 32
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
-SLICE_BYTES = 4 << 20
+#: Bytes of texts worked on at once, and those of them that have 64-bit terms at a time.
+SLICE_BYTES, BLOCK_BYTES = 512 << 10, 256 << 10
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,39 +77,45 @@ class Words:
         self.length = edges[np.searchsorted(edges, self.start, "right")] - self.start
         self.row = np.searchsorted(at, self.start, "right") - 1
         self.first = np.searchsorted(self.row, np.arange(len(at)))  # of each row, and the end
-        self._inside = np.flatnonzero(inside)
-        self._place: np.ndarray | None = None
-
-    @property
-    def place(self) -> np.ndarray:
-        """Position in its word of each byte that belongs to a word."""
-        if self._place is None:
-            head = np.cumsum(self.length) - self.length
-            self._place = np.arange(len(self._inside)) - np.repeat(head, self.length)
-        return self._place
-
-    def _terms(self) -> np.ndarray:
-        return BYTE_VALUE[self.data[self._inside]] * powers(int(self.length.max()))[self.place]
+        self._inside = inside
+
+    def _blocks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first word, word after the last, terms of their bytes, where each word begins in these).
+
+        Some BLOCK_BYTES at a time, so that what is kept for each byte stays small however long a text is.
+        """
+        power = powers(int(self.length.max())) if len(self.start) else _POWERS[0]
+        ends = np.cumsum(self.length)
+        i = 0
+        while i < len(ends):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - self.length[i] + BLOCK_BYTES, "right")))
+            part = slice(self.start[i], self.start[j - 1] + self.length[j - 1])
+            length = self.length[i:j]
+            head = np.cumsum(length) - length
+            place = np.arange(int(length.sum()), dtype=np.int32) - np.repeat(head.astype(np.int32), length)
+            yield i, j, BYTE_VALUE[self.data[part][self._inside[part]]] * power[place], head
+            i = j
 
     def hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, _U)
-        head = np.cumsum(self.length) - self.length
-        return mix(np.add.reduceat(self._terms(), head) + self.length.astype(_U) * _STEP)
-
-    def prefixes(self, lengths: range) -> np.ndarray:
-        """Hash of the first n bytes of each word, a row for each n; 0 where the word is not longer than n."""
-        if not len(self.start):
-            return np.zeros((len(lengths), 0), _U)
-        head = np.cumsum(self.length) - self.length
-        upto = np.concatenate([np.zeros(1, _U), np.cumsum(self._terms())])
-        out = np.zeros((len(lengths), len(head)), _U)
-        for row, n in zip(out, lengths, strict=True):
-            long = self.length > n
-            kind = _U((n * int(_STEP) ^ 0x5851F42D4C957F2D) & (1 << 64) - 1)
-            row[long] = mix(upto[head[long] + n] - upto[head[long]] ^ kind)
+        out = np.zeros(len(self.start), _U)
+        for i, j, terms, head in self._blocks():
+            out[i:j] = mix(np.add.reduceat(terms, head) + self.length[i:j].astype(_U) * _STEP)
         return out
 
+    def beginnings(self, lengths: range) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first word, word after the last, hashes): a row for the whole words, then one for the first n bytes
+        of each word for every n, 0 where the word is not longer than n."""
+        for i, j, terms, head in self._blocks():
+            length = self.length[i:j]
+            upto = np.concatenate([np.zeros(1, _U), np.cumsum(terms)])
+            out = np.zeros((1 + len(lengths), j - i), _U)
+            out[0] = mix(upto[head + length] - upto[head] + length.astype(_U) * _STEP)
+            for row, n in zip(out[1:], lengths, strict=True):
+                long = np.flatnonzero(length > n)
+                kind = _U((n * int(_STEP) ^ 0x5851F42D4C957F2D) & (1 << 64) - 1)
+                row[long] = mix(upto[head[long] + n] - upto[head[long]] ^ kind)
+            yield i, j, out
+
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of ``k`` words inside a row, and where each row's shingles begin.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridloom.llm.bytetext import Words
+from gridloom.llm.bytetext import BLOCK_BYTES, Words
 
 #: Most labelled rows a classifier is fitted on; the rows with the smallest hashes of their doc_id are taken.
 TRAIN_ROWS = 20_000
@@ -23,12 +23,23 @@ NAMES = [
 ]
 
 
+def _kinds(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bytes of each kind in each row, some at a time."""
+    rows = len(at) - 1
+    counts = np.zeros(rows * _N)
+    for a in range(0, len(data), BLOCK_BYTES):
+        b = min(a + BLOCK_BYTES, len(data))
+        first, last = np.searchsorted(at, [a, b - 1], "right") - 1
+        row = np.repeat(np.arange(first, last + 1), np.diff(np.clip(at[first : last + 2], a, b)))
+        counts += np.bincount(row * _N + _CLASS[data[a:b]], minlength=rows * _N)
+    return counts.reshape(rows, _N)
+
+
 def profile(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Features (rows x NAMES) of a slice of texts; every byte of every text counts."""
     rows = len(at) - 1
     size = np.diff(at)
-    row = np.repeat(np.arange(rows), size)
-    counts = np.bincount(row * _N + _CLASS[data], minlength=rows * _N).reshape(rows, _N).astype(float)
+    counts = _kinds(data, at)
     by = dict(zip([*_KINDS, "control"], counts.T, strict=True))
     words = Words(data, at)
     hashes = words.hashes()

@@ -80,7 +80,7 @@ _YOU = np.sort(_words(SECOND_PERSON))
 
 def _terms(words: Words) -> np.ndarray:
     """Hashes of the whole words and of their beginnings, a row for each kind."""
-    return np.vstack([words.hashes()[None, :], words.prefixes(PREFIXES)])
+    return np.hstack([np.zeros((1 + len(PREFIXES), 0), _U), *(found for _, _, found in words.beginnings(PREFIXES))])
 
 
 @dataclass
@@ -96,15 +96,15 @@ class Lexicon:
 
     def weight(self, words: Words) -> np.ndarray:
         """Largest weight of a word's terms; 0 where none is listed."""
-        found = _terms(words)
-        out = np.zeros(found.shape[1])
-        if not len(self.terms) or not found.size:
+        out = np.zeros(len(words.start))
+        if not len(self.terms):
             return out
-        kind, place = np.nonzero(self.likely[(found & _U(0xFFFFF)).astype(np.int64)])
-        hit = found[kind, place]
-        at = np.minimum(np.searchsorted(self.terms, hit), len(self.terms) - 1)
-        true = self.terms[at] == hit
-        np.maximum.at(out, place[true], self.weights[at[true]])
+        for i, j, found in words.beginnings(PREFIXES):
+            kind, place = np.nonzero(self.likely[(found & _U(0xFFFFF)).astype(np.int64)])
+            hit = found[kind, place]
+            at = np.minimum(np.searchsorted(self.terms, hit), len(self.terms) - 1)
+            true = self.terms[at] == hit
+            np.maximum.at(out[i:j], place[true], self.weights[at[true]])
         return out
 
 
@@ -117,23 +117,25 @@ def _disguised(data: np.ndarray, at: np.ndarray) -> Words:
     rows = len(at) - 1
     if not len(tokens.start):
         return Words(data[:0], np.zeros(rows + 1, np.int64))
-    letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
-    marks = np.concatenate([[0], np.cumsum(~_LETTER[data] & ~SPACE[data])])
+    marks = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(~(_LETTER | SPACE)[data], out=marks[1:])
     a, b = tokens.start, tokens.start + tokens.length
     # Marks before the first and after the last letter or look-alike are ordinary punctuation.
     kin = _LETTER | _LEET_BYTE
     kin[ord("!")] = False
-    places = np.flatnonzero(kin[data])
+    places = np.flatnonzero(kin[data]).astype(np.int32)
     first = np.searchsorted(places, a)
     last = np.searchsorted(places, b) - 1
-    odd = (letters[b] > letters[a]) & (last > first)
+    # No letter lies between two tokens.
+    odd = np.logical_or.reduceat(_LETTER[data], a) & (last > first)
     odd[odd] = marks[places[last[odd]] + 1] > marks[places[first[odd]]]
-    lengths = np.where(odd, b - a, 0)
-    head = np.cumsum(lengths) - lengths
-    index = np.arange(lengths.sum()) - np.repeat(head, lengths) + np.repeat(a, lengths)
-    text = _LEET[data[index]]
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[a[odd]] += 1
+    inside[b[odd]] -= 1
+    text = _LEET[data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]]
     keep = _LETTER[text]
-    kept = np.add.reduceat(keep, head[odd]) if odd.any() else np.zeros(0, int)
+    lengths = (b - a)[odd]
+    kept = np.add.reduceat(keep, np.cumsum(lengths) - lengths, dtype=np.int64) if odd.any() else np.zeros(0, int)
     # The words one after another, a blank between them.
     text = np.insert(text[keep], np.cumsum(kept), 32)
     ends = np.cumsum(kept + 1)
