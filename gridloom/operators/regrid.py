@@ -94,22 +94,14 @@ def _unmelt(cells: DataFrame, variables: Sequence[str], positions: Sequence[str]
     return cells.groupBy(TIME, LAT, LON, *positions).agg(*picks)
 
 
-def _onto(
-    grid: DataFrame, axes: GridAxes, variables: Sequence[str], method: str, cluster: str, positions: bool = False
-) -> DataFrame:
-    """``positions`` adds lat_idx and lon_idx, which are known here without another join."""
-    assert_grid(grid, variables)
-    if method not in METHODS:
-        raise ValueError(f"unsupported interpolation method {method!r}; use one of {METHODS}")
-    if cluster not in ("time", "lane"):
-        raise ValueError("cluster must be 'time' or 'lane'")
-    if not (axes.size(LAT) and axes.size(LON)):
-        none = [F.lit(0).alias(c) for c in ("lat_idx", "lon_idx") if positions]
-        return grid.select(TIME, LAT, LON, *none, *variables).limit(0)
+def _points(grid: DataFrame, axes: GridAxes, variables: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """One row per usable point (time, [variable,] _iy, _ix, _v) on positions of the target axes.
+
+    Points off the target axes carry no value; they collapse into one marker per timestep, which keeps
+    timesteps without any usable point in the dense result.
+    """
     melted, var = _melt(grid.select(TIME, LAT, LON, *variables), variables)
     placed = _position(_position(melted, axes, LAT, "_iy"), axes, LON, "_ix")
-    # Points off the target axes carry no value; they collapse into one marker per timestep,
-    # which keeps timesteps without any usable point in the dense result.
     on_grid = F.col("_iy").isNotNull() & F.col("_ix").isNotNull()
     placed = placed.select(
         TIME,
@@ -118,16 +110,38 @@ def _onto(
         F.when(on_grid, F.col("_ix")).alias("_ix"),
         F.when(on_grid, F.col("_v")).alias("_v"),
     )
-    points = _unique(placed, [TIME, *var, "_iy", "_ix"], F.col("_iy").isNotNull())
-    if cluster == "time":
-        # Both passes group by keys that contain time: one shuffle of the coarse points serves
-        # both, and the fine cells are produced where their timestep already is.
-        rows = _fill_lanes(clustered(points, TIME), [TIME, *var, "_iy"], "_ix", axes, LON, method)
-    else:
-        rows = _fill_lanes(clustered(points, TIME, "_iy"), [TIME, *var, "_iy"], "_ix", axes, LON, method)
+    return _unique(placed, [TIME, *var, "_iy", "_ix"], F.col("_iy").isNotNull()), var
+
+
+def _walk(points: DataFrame, axes: GridAxes, var: list[str], method: str, cluster: str) -> DataFrame:
+    """Cells (time, [variable,] _iy, _ix, _v) from points, along longitude first, then along latitude."""
+    rows = _fill_lanes(points, [TIME, *var, "_iy"], "_ix", axes, LON, method)
+    if cluster == "lane":
         rows = clustered(rows, TIME, "_ix")
-    cells = _fill_lanes(rows, [TIME, *var, "_ix"], "_iy", axes, LAT, method)
-    cells = _coordinates(cells, axes, (LAT, "_iy"), (LON, "_ix"))
+    return _fill_lanes(rows, [TIME, *var, "_ix"], "_iy", axes, LAT, method)
+
+
+def _checked(grid: DataFrame, variables: Sequence[str], method: str, cluster: str) -> None:
+    assert_grid(grid, variables)
+    if method not in METHODS:
+        raise ValueError(f"unsupported interpolation method {method!r}; use one of {METHODS}")
+    if cluster not in ("time", "lane"):
+        raise ValueError("cluster must be 'time' or 'lane'")
+
+
+def _onto(
+    grid: DataFrame, axes: GridAxes, variables: Sequence[str], method: str, cluster: str, positions: bool = False
+) -> DataFrame:
+    """``positions`` adds lat_idx and lon_idx, which are known here without another join."""
+    _checked(grid, variables, method, cluster)
+    if not (axes.size(LAT) and axes.size(LON)):
+        none = [F.lit(0).alias(c) for c in ("lat_idx", "lon_idx") if positions]
+        return grid.select(TIME, LAT, LON, *none, *variables).limit(0)
+    points, var = _points(grid, axes, variables)
+    # Clustered by time, both passes group by keys that contain time: one shuffle of the coarse points serves
+    # both, and the fine cells are produced where their timestep already is.
+    points = clustered(points, TIME) if cluster == "time" else clustered(points, TIME, "_iy")
+    cells = _coordinates(_walk(points, axes, var, method, cluster), axes, (LAT, "_iy"), (LON, "_ix"))
     if not positions:
         return _unmelt(cells, variables)
     return _unmelt(cells.withColumnsRenamed({"_iy": "lat_idx", "_ix": "lon_idx"}), variables, ("lat_idx", "lon_idx"))

@@ -6,6 +6,7 @@ from gridloom.queries import (  # noqa: F401  (importing registers the queries)
     modelling,
     normalization,
     raster,
+    regression,
     selection,
     sources,
     splitting,

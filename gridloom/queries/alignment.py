@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import align, regrid as rg
+from gridloom.operators import align, regrid as rg, weights as wt
 from gridloom.operators.axes import GridAxes
 from gridloom.operators.select import at_times
 from gridloom.queries.registry import axes_ctes, hold, query, r6, regrid_ctes, with_ctes
@@ -220,3 +220,45 @@ def regrid_lane_counts(spark, sf):
     return cells.groupBy("time").agg(
         F.count("*").alias("cells"), F.count("t2m").alias("filled"), F.avg("t2m").alias("mean_t2m")
     )
+
+
+def _by_weights(source: str) -> str:
+    # The small addend keeps exact halves of the last digit from rounding either way.
+    return f"SELECT time, latitude, longitude, {r6('t2m + 1e-8')} AS t2m FROM {source}"
+
+
+@query(
+    "regrid_by_weights",
+    with_ctes(_by_weights("rg"), "grid_hr", "grid_lr_gap", **axes_ctes("grid_hr"), **regrid_ctes("grid_lr_gap", "ax_lat", "ax_lon")),
+)
+def regrid_by_weights(spark, sf):
+    """Whole timesteps by weights, those without the centre cell by the walk."""
+    coarse = hold(tb.grid_lr_gap(spark, sf))
+    table = wt.WeightTable.of(GridAxes.of(coarse), GridAxes.of(tb.grid_hr(spark, sf)))
+    return wt.regrid_by_weights(coarse, table, ["t2m"]).withColumn("t2m", F.col("t2m") + 1e-8)
+
+
+@query(
+    "daily_regrid_by_weights",
+    with_ctes(_by_weights("rg"), "daily_hr", "daily_lr", **axes_ctes("daily_hr"), **regrid_ctes("daily_lr", "ax_lat", "ax_lon")),
+)
+def daily_regrid_by_weights(spark, sf):
+    """The daily grids: most days of small inputs lack some points, few of large ones."""
+    coarse = hold(tb.daily_lr(spark, sf))
+    table = wt.WeightTable.of(GridAxes.of(coarse), GridAxes.of(tb.daily_hr(spark, sf)))
+    return wt.regrid_by_weights(coarse, table, ["t2m"]).withColumn("t2m", F.col("t2m") + 1e-8)
+
+
+@query(
+    "regrid_weight_sums",
+    with_ctes(
+        f"""SELECT 'latitude' AS dim, count(*) AS targets, {r6('count(*)')} AS weight FROM ax_lat UNION ALL
+            SELECT 'longitude', count(*), {r6('count(*)')} FROM ax_lon""",
+        "grid_hr",
+        **axes_ctes("grid_hr"),
+    ),
+)
+def regrid_weight_sums(spark, sf):
+    """Every target position is covered and its weights add up to one."""
+    table = wt.WeightTable.of(GridAxes.of(tb.grid_lr(spark, sf)), GridAxes.of(tb.grid_hr(spark, sf))).table
+    return table.groupBy("dim").agg(F.countDistinct("idx").alias("targets"), F.sum("weight").alias("weight"))

@@ -20,7 +20,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def canonical(value) -> str:
-    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return "∅"
     if hasattr(value, "tolist") and not isinstance(value, pd.Timestamp):
         value = value.tolist()
@@ -41,10 +41,11 @@ def rows(frame: pd.DataFrame) -> Counter:
 def differences(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | None:
     if sorted(spark_frame.columns) != sorted(sql_frame.columns):
         return f"columns {sorted(spark_frame.columns)} != {sorted(sql_frame.columns)}"
+    # A column of NULLs only has no kind of its own.
     kinds = [
         (c, spark_frame[c].dtype.kind, sql_frame[c].dtype.kind)
         for c in spark_frame.columns
-        if len(spark_frame) and spark_frame[c].dtype.kind != sql_frame[c].dtype.kind
+        if spark_frame[c].dtype.kind != sql_frame[c].dtype.kind and not (spark_frame[c].isna().all() and sql_frame[c].isna().all())
     ]
     if kinds:
         return f"column kinds differ: {kinds}"

@@ -1,6 +1,6 @@
 import os
 import sys
-from datetime import datetime, timedelta
+from datetime import timedelta
 from pathlib import Path
 
 import pytest
@@ -8,6 +8,7 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
+from grids import START  # noqa: E402
 from gridloom.schema import GRID  # noqa: E402
 from gridloom.session import build_session  # noqa: E402
 
@@ -39,9 +40,6 @@ def sf_dir():
     return SF_DIR
 
 
-START = datetime(2020, 1, 1, 12)
-
-
 @pytest.fixture(scope="session")
 def make_grid(spark):
     """Grid from a function of (day, latitude, longitude); None leaves the value missing."""

@@ -2,7 +2,7 @@ import math
 from datetime import timedelta
 
 import pytest
-from conftest import START
+from grids import START
 from gridloom.operators.normalize import Stats
 from gridloom.operators.split import SplitCuts
 from gridloom.plans.experiment import run_experiment
