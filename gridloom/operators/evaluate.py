@@ -71,8 +71,13 @@ def mean_map(grid: DataFrame, variables: Sequence[str] = (TEMPERATURE,)) -> Data
     )
 
 
-def spatial_comparison(truth: DataFrame, prediction: DataFrame, variable: str = TEMPERATURE) -> DataFrame:
-    """Temporal means of truth and prediction side by side, with the extent of the truth."""
+def spatial_comparison(
+    truth: DataFrame, prediction: DataFrame, variable: str = TEMPERATURE, both_extents: bool = False
+) -> DataFrame:
+    """Temporal means of truth and prediction side by side, with the extent of the truth.
+
+    ``both_extents`` adds the extent of the prediction, as pred_lon_min and so on.
+    """
     means = [
         keyed(mean_map(g, [variable]), LAT, LON, F.col(variable).alias(name))
         for g, name in ((truth, "y_true_mean"), (prediction, "y_pred_mean"))
@@ -80,7 +85,11 @@ def spatial_comparison(truth: DataFrame, prediction: DataFrame, variable: str =
     joined = means[0].join(means[1].drop(LAT, LON), CELL_KEYS).drop(*CELL_KEYS)
     box = bounding_box(truth)
     extent = box.select(F.struct("*").alias("extent")).scalar()
-    return joined.withColumns({c: extent[c] for c in box.columns})
+    joined = joined.withColumns({c: extent[c] for c in box.columns})
+    if not both_extents:
+        return joined
+    other = bounding_box(prediction).select(F.struct("*").alias("extent")).scalar()
+    return joined.withColumns({f"pred_{c}": other[c] for c in box.columns})
 
 
 def difference_map(

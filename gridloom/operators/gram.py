@@ -12,7 +12,7 @@ others determine, gets weight 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import combinations, product
 
@@ -197,7 +197,7 @@ def score_grid(rows: DataFrame, fits: DataFrame, features: Sequence[str], label:
     error = F.col(label) - _value(features)
     size = F.abs(error)
     huber = F.when(size <= delta, 0.5 * error * error).otherwise(delta * size - 0.5 * delta * delta)
-    known = each.withColumns({"_e": error, "_h": huber}).where(F.col("_e").isNotNull())
+    known = each.withColumns({"_e": error, "_h": huber}).where(F.col("_e").isNotNull() & ~F.isnan("_e"))
     return known.groupBy("config").agg(
         F.count("*").alias("n"), F.avg(F.col("_e") * F.col("_e")).alias("mse"), F.avg(F.abs("_e")).alias("mae"), F.avg("_h").alias("huber_loss")
     )
@@ -246,8 +246,34 @@ class GroupLinear:
         """One row for each row of ``rows``, NULL where no model was fitted; ``strict`` raises there."""
         side = broadcast_if_small(self.table.select(*self.by, "intercept", "weights"), self.groups)
         given = with_cell_keys(rows) if set(self.by) & set(CELL_KEYS) else rows
-        joined = given.join(side, list(self.by), "left")
+        if self.by:
+            joined = given.join(side, list(self.by), "left")
+        else:
+            one = self.table.select(F.struct("intercept", "weights").alias("fit")).scalar()
+            joined = given.withColumns({"intercept": one["intercept"], "weights": one["weights"]})
         value = _value(self.features)
         if strict:
             value = F.when(F.col("intercept").isNull(), F.raise_error(F.lit("models do not cover every cell of the grid"))).otherwise(value)
         return joined.select(TIME, LAT, LON, *keep, value.alias(output))
+
+
+@dataclass(frozen=True)
+class LossFitter:
+    """Fits what an experiment's setup asks for: its ``loss_type`` (mae unless set) on all ``features``.
+
+    ``by`` are cell keys (a model for each cell) or nothing (one for all cells, for features that vary
+    between cells only).
+    """
+
+    features: tuple[str, ...] = (TEMPERATURE,)
+    by: tuple[str, ...] = tuple(CELL_KEYS)
+    ridge: float = 0.0
+    delta: float = 1.0
+    rounds: int = 20
+    tolerance: float = 1e-6
+    least_residual: float = LEAST_RESIDUAL
+
+    def fit(self, samples: DataFrame, setup: Mapping) -> GroupLinear:
+        loss = setup.get("loss_type") or "mae"
+        options = {"rounds": self.rounds, "tolerance": self.tolerance, "least_residual": self.least_residual}
+        return GroupLinear.fit(samples, self.features, by=self.by, loss=loss, ridge=self.ridge, delta=self.delta, **options)

@@ -63,6 +63,16 @@ class CellLines:
         return require_hit(found, output, strict, "lines")
 
 
+@dataclass(frozen=True)
+class LineFitter:
+    """Least-squares lines per cell on the temperature, whatever loss a setup names."""
+
+    features: tuple[str, ...] = (TEMPERATURE,)
+
+    def fit(self, samples: DataFrame, setup: Mapping) -> CellLines:
+        return CellLines.fit(samples)
+
+
 @dataclass(frozen=True)
 class GlobalLinear:
     """One linear model over all cells on a feature vector."""

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridloom.operators.align import pair_features, pair_samples, unpaired_times
 from gridloom.operators.evaluate import difference_map, histogram, losses, metrics, spatial_comparison
-from gridloom.operators.model import CellLines
+from gridloom.operators.gram import GroupLinear, LossFitter
+from gridloom.operators.model import CellLines, LineFitter
 from gridloom.operators.normalize import Stats, scaler
 from gridloom.operators.split import TEST_SIZE, SplitCuts
 from gridloom.plans.preprocess import preprocess
@@ -30,7 +31,7 @@ class Evaluation:
 @dataclass(frozen=True)
 class Experiment:
     stats: Stats
-    model: CellLines
+    model: CellLines | GroupLinear
     prediction: DataFrame
     evaluation: Evaluation
     run: DataFrame
@@ -48,14 +49,17 @@ def predict(
     return scaler(kind).inverse(stats, model.predict(features), TEMPERATURE, stats_resolution)
 
 
-def evaluate(truth: DataFrame, prediction: DataFrame, on_missing: str = "error") -> Evaluation:
-    """Scores and tables; the pairing join is staged, as metrics and histogram both read it."""
-    pair = stage(pair_samples(truth, prediction), "pair")
+def evaluate(truth: DataFrame, prediction: DataFrame, on_missing: str = "error", strict: bool = False) -> Evaluation:
+    """Scores and tables; scores are of the pairs, histograms of each whole series, with or without a partner."""
+    pair = pair_samples(truth, prediction, strict=strict)
+    series = truth.select(F.col(TEMPERATURE).alias("y_true")).unionByName(
+        prediction.select(F.col(TEMPERATURE).alias("y_pred")), allowMissingColumns=True
+    )
     return Evaluation(
         metrics=metrics(pair, on_missing=on_missing),
-        spatial=spatial_comparison(truth, prediction),
+        spatial=spatial_comparison(truth, prediction, both_extents=True),
         difference=difference_map(truth, prediction),
-        histogram=histogram(pair, {"actual": "y_true", "predicted": "y_pred"}),
+        histogram=histogram(series, {"actual": "y_true", "predicted": "y_pred"}),
         pair=pair,
     )
 
@@ -70,14 +74,18 @@ def train_and_evaluate(
     stats_resolution: str = "lr",
     result_path: str | None = None,
     on_missing: str = "error",
+    fitter: LineFitter | LossFitter = LineFitter(),  # noqa: B008
+    strict: bool = False,
 ) -> Experiment:
     """Fit on the training split, score the test split.
 
     ``lr`` and ``hr`` are normalised and carry a ``split`` column.  The paired samples are the
-    one large join; they are staged and serve the fit and the losses.
+    one large join; they are staged and serve the fit and the losses.  The ``fitter`` says which
+    features take part and whether the setup's loss is fitted; ``strict`` raises on cells without a partner.
     """
-    samples = stage(pair_features(lr, hr, [TEMPERATURE], "label", on=("split", TIME)), "samples")
-    model = CellLines.fit(samples.where("split = 'train'"))
+    paired = pair_features(lr, hr, fitter.features, "label", on=("split", TIME), strict=strict)
+    samples = stage(paired, "samples")
+    model = fitter.fit(samples.where("split = 'train'"), setup)
 
     # Losses on the normalised values the model was fitted on, train and validation in one pass.
     fitted = model.predict(samples.where("split <> 'test'"), "y_pred", keep=["split", "label"])
@@ -89,7 +97,7 @@ def train_and_evaluate(
 
     prediction = stage(predict(model, lr.where("split = 'test'"), stats, kind, stats_resolution), "prediction")
     truth = scaler(kind).inverse(stats, hr.where("split = 'test'").drop("split"), TEMPERATURE, "hr")
-    evaluation = evaluate(truth, prediction, on_missing)
+    evaluation = evaluate(truth, prediction, on_missing, strict)
     setup = {"normalization_type": kind, **setup}
     run = run_records(evaluation.metrics, F.lit(run_id), setup, F.array(loss["train"]), F.array(loss["val"]))
     if result_path is not None:
@@ -115,11 +123,15 @@ def run_experiment(
     stats_path: str | None = None,
     result_path: str | None = None,
     on_missing: str = "error",
+    fitter: LineFitter | LossFitter = LineFitter(),  # noqa: B008
+    strict: bool = False,
+    regridding: str = "time",
 ) -> Experiment:
     """Split the raw time axes first, fit statistics on the training range only.
 
     Coarse and fine grids are cut on their own times unless ``label_from='hr'``.  Static fields
     belong to every split.  ``fit_on='all'`` is the older flow that normalises everything.
+    ``fitter`` and ``strict`` as in ``train_and_evaluate``, ``regridding`` as in ``align``.
     """
     hr_cuts = SplitCuts.of(hr, test_size)
     lr_cuts = hr_cuts if label_from == "hr" else SplitCuts.of(lr, test_size)
@@ -136,6 +148,7 @@ def run_experiment(
         divisible_factor=divisible_factor,
         fit_lr=lr_cuts.where("train") if only_train else None,
         fit_hr=hr_cuts.where("train") if only_train else None,
+        regridding=regridding,
     )
     return train_and_evaluate(
         done.lr.withColumn("split", lr_cuts.label()),
@@ -147,4 +160,6 @@ def run_experiment(
         stats_resolution,
         result_path,
         on_missing,
+        fitter,
+        strict,
     )

@@ -3,6 +3,7 @@ from gridloom.queries import (  # noqa: F401  (importing registers the queries)
     daily,
     evaluation,
     experiments,
+    growth,
     modelling,
     normalization,
     raster,

@@ -7,7 +7,10 @@ from gridloom.operators.align import combine_static, pair_features
 from gridloom.operators.axes import GridAxes
 from gridloom.operators.regrid import regrid
 from gridloom.operators.split import SplitCuts
-from gridloom.queries.registry import axes_ctes, hold, query, regrid_ctes, split_ctes, with_ctes
+from gridloom.plans.experiment import run_experiment
+from gridloom.queries.evaluation import _METRICS, _histogram_sql
+from gridloom.queries.experiments import _experiment_ctes, _inputs
+from gridloom.queries.registry import TEST_FACTOR, TEST_REGION, axes_ctes, hold, query, r6, regrid_ctes, split_ctes, with_ctes
 from gridloom.sources import tables as tb
 
 ROUNDS, LEAST, DELTA = 3, 0.25, 2.0
@@ -161,3 +164,90 @@ def run_grid_fits(spark, sf):
     fits = gm.fit_grid(samples.where(cuts.where("train")), FEATURES, "label", configs)
     scores = gm.score_grid(samples.where(cuts.where("val")), fits, FEATURES, "label")
     return _rounded(scores, "mse", "mae", "huber_loss")
+
+
+_EXPERIMENT = {"region": TEST_REGION, "divisible_factor": TEST_FACTOR, "on_missing": "skip"}
+_NOON_GRIDS = ("grid_hr", "grid_lr", "hr_noon", "lr_noon", "static_hr", "static_lr")
+
+
+def _with_lines(lines: dict[str, str]) -> dict[str, str]:
+    """The experiment's tables with other lines in place of the squared ones."""
+    out = {}
+    for name, body in _experiment_ctes("lstats").items():
+        out |= lines if name == "lines" else {name: body}
+    return out
+
+
+def _mae_lines() -> dict[str, str]:
+    rounds = {k: v.replace("FROM samples s", "FROM known s").replace("FROM samples", "FROM known") for k, v in _reweighted(f"1e0 / greatest(r, {LEAST}e0)").items()}
+    return {
+        "known": "SELECT * FROM samples WHERE x IS NOT NULL AND y IS NOT NULL",
+        **rounds,
+        "lines": f"SELECT latitude, longitude, b AS slope, a AS intercept FROM fit{ROUNDS}",
+    }
+
+
+def _run(spark, sf, fitter, loss, **more):
+    setup = {"loss_type": loss, "batch_size": 4, "num_epochs": 1}
+    return run_experiment(*_inputs(spark, sf), setup=setup, run_id=loss, fitter=fitter, **_EXPERIMENT, **more).evaluation
+
+
+@query("experiment_metrics_mae", with_ctes(f"SELECT {_METRICS}, count(*) AS n FROM scored", *_NOON_GRIDS, **_with_lines(_mae_lines())))
+def experiment_metrics_mae(spark, sf):
+    """The setup's absolute loss is what is fitted, a fixed number of rounds; coarse grid by weights."""
+    return _run(spark, sf, gm.LossFitter(rounds=ROUNDS, tolerance=0.0, least_residual=LEAST), "mae", regridding="weights").metrics
+
+
+def _terrain_experiment() -> dict[str, str]:
+    ctes = _experiment_ctes("lstats")
+    static = lambda v, src: f"({v} - (SELECT avg({v}) FROM {src})) / nullif((SELECT stddev_pop({v}) FROM {src}), 0)"
+    ctes["nf"] = f"""SELECT n.time, n.latitude, n.longitude, n.t2m, l.lsm, z.z FROM nl n
+        JOIN (SELECT latitude, longitude, {static('lsm', 'rl')} AS lsm FROM rl) l ON l.latitude = n.latitude AND l.longitude = n.longitude
+        JOIN (SELECT latitude, longitude, {static('z', 'rz')} AS z FROM rz) z ON z.latitude = n.latitude AND z.longitude = n.longitude"""
+    fit = _moments(
+        """SELECT 1 AS g, f.t2m, f.lsm, f.z, h.t2m AS label FROM nf f JOIN nh h ON h.time = f.time AND h.latitude = f.latitude AND h.longitude = f.longitude
+           WHERE f.time < (SELECT first_val FROM lcuts) AND h.time < (SELECT first_val FROM cuts)
+             AND f.t2m IS NOT NULL AND f.lsm IS NOT NULL AND f.z IS NOT NULL AND h.t2m IS NOT NULL""",
+        "g",
+    )
+    scores = {k: ctes.pop(k) for k in ("predicted", "truth", "scored")}
+    scores["predicted"] = """SELECT n.time, n.latitude, n.longitude, (my + wa * (n.t2m - ma) + wb * (n.lsm - mb) + wc * (n.z - mc)) * s.sigma + s.mu AS t2m
+        FROM nf n CROSS JOIN solved JOIN lstats s ON n.latitude = s.latitude AND n.longitude = s.longitude WHERE n.time >= (SELECT first_test FROM lcuts)"""
+    return {**ctes, **fit, **scores}
+
+
+@query("experiment_metrics_terrain", with_ctes(f"SELECT {_METRICS}, count(*) AS n FROM scored", *_NOON_GRIDS, **_terrain_experiment()))
+def experiment_metrics_terrain(spark, sf):
+    """One model of temperature, land share and geopotential for all cells, squared loss."""
+    return _run(spark, sf, gm.LossFitter(FEATURES, by=()), "mse").metrics
+
+
+@query(
+    "experiment_histograms",
+    with_ctes(_histogram_sql({"actual": ("truth", "t2m"), "predicted": ("predicted", "t2m")}), *_NOON_GRIDS, **_experiment_ctes("lstats")),
+)
+def experiment_histograms(spark, sf):
+    """Each series on all its rows, those without a partner too."""
+    return run_experiment(*_inputs(spark, sf), setup={"loss_type": "mse"}, run_id="h", **_EXPERIMENT).evaluation.histogram
+
+
+@query(
+    "experiment_extents",
+    with_ctes(
+        f"""SELECT t.latitude, t.longitude, {r6('t.v')} AS y_true_mean, {r6('p.v')} AS y_pred_mean,
+            """
+        + ", ".join(
+            f"(SELECT {f}({c}itude) FROM {source}) AS {prefix}{c[:3]}_{f}"
+            for prefix, source in (("", "truth"), ("pred_", "predicted"))
+            for f in ("min", "max")
+            for c in ("lat", "long")
+        ).replace("long_", "lon_")
+        + """ FROM (SELECT latitude, longitude, avg(t2m) AS v FROM truth GROUP BY 1, 2) t
+            JOIN (SELECT latitude, longitude, avg(t2m) AS v FROM predicted GROUP BY 1, 2) p ON p.latitude = t.latitude AND p.longitude = t.longitude""",
+        *_NOON_GRIDS,
+        **_experiment_ctes("lstats"),
+    ),
+)
+def experiment_extents(spark, sf):
+    """Mean maps with the extents of truth and prediction."""
+    return run_experiment(*_inputs(spark, sf), setup={"loss_type": "mse"}, run_id="x", **_EXPERIMENT).evaluation.spatial
