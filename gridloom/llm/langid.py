@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridloom.llm.bytetext import text_slices
 from gridloom.llm.features import held_out
 from gridloom.llm.registry import query, table
+from gridloom.session import broadcast_if_small, stage
 
 DIMENSIONS = 1024
 LEARN_ROWS = 1500
@@ -126,9 +127,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     k = F.col(f"`{key}`")
     given = docs.select(k.alias("key"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
     given = given.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("key").isNotNull() & ~held_out(F.col("key")))
-    share = given.groupBy("lang").agg((F.lit(float(rows)) / F.count("*")).alias("share"))
+    # A row for each language: counted first, so that no text moves.
+    share = stage(given.groupBy("lang").agg((F.lit(float(rows)) / F.count("*")).alias("share")), "shares")
     draw = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = given.join(share, "lang").where(draw < F.col("share")).select("lang", "text")
+    sample = given.join(broadcast_if_small(share, share.count()), "lang").where(draw < F.col("share")).select("lang", "text")
 
     def bundle(batches):
         trigrams, sums = Trigrams(dimensions, seed), {}
