@@ -7,8 +7,9 @@ blank line that ends a record is the writer's line separator.  Of captures with
 at least ``least`` bytes the one with the largest page_id is the response; the others are revisits
 that refer to it and carry no payload.
 
-**Reading.**  Files (kept small by ``RECORDS_A_FILE``) are parsed by Content-Length, plain or gzip,
-in one or many members, into flat records.  ``captures`` then joins requests and metadata to their
+**Reading.**  Files are bounded by the bytes they hold (``FILE_BYTES``, or one capture if that is larger), since
+one task unpacks a file; captures of more than ``LARGE_BYTES`` are written to files of their own.  They
+are parsed by Content-Length, plain or gzip, in one or many members, into flat records.  ``captures`` then joins requests and metadata to their
 response through the concurrent-to identifiers, in whichever of the two records these stand, and
 looks up the payload that a revisit refers to.
 
@@ -32,7 +33,8 @@ from gridloom.llm.registry import query, table
 from gridloom.session import scratch_path, stage
 
 LEAST_BYTES = 1000
-RECORDS_A_FILE = 8192
+#: Payload bytes of a file, and from how many on a capture counts as large.
+FILE_BYTES, LARGE_BYTES = 64 << 20, 32 << 10
 DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n\r\n"
 
@@ -95,8 +97,12 @@ def write(pages: DataFrame, path: str, payload: str = "html", url: str = "url",
         ),
         _record("metadata", facts, ("WARC-Record-ID", metadata), ("WARC-Concurrent-To", response), *about, ("Content-Type", "application/warc-fields")),
     )
-    out = rows.select(three.alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_A_FILE)
-    out.option("compression", compression).mode("overwrite").text(path)
+    small = F.col("bytes") <= LARGE_BYTES
+    largest = pages.agg(F.max(F.octet_length(F.col(f"`{payload}`").cast("string")))).first()[0] or 0
+    for some, most, mode in ((small, LARGE_BYTES, "overwrite"), (~small, largest, "append")):
+        if mode == "overwrite" or largest > LARGE_BYTES:
+            out = rows.where(some).select(three.alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", max(1, FILE_BYTES // most))
+            out.option("compression", compression).mode(mode).text(path)
 
 
 def unpacked(data: bytes) -> bytes:
@@ -208,16 +214,31 @@ def captures(records: DataFrame) -> DataFrame:
     )
 
 
+def facts(of: DataFrame) -> DataFrame:
+    """Captures with what their nested records say: the URI asked for, the bytes fetched (of any metadata record) and how many metadata records there are."""
+    told = F.regexp_extract(F.decode(F.col("metadata")[0]["body"], "UTF-8"), r"(?m)^fetchedBytes: (\d+)", 1)
+    return of.withColumns(
+        {
+            "request_uri": F.col("request.target_uri"),
+            "fetched_bytes": F.when(told != "", told.cast("long")),
+            "n_metadata": F.coalesce(F.size("metadata"), F.lit(0)).cast("long"),
+        }
+    )
+
+
 @query(
     "op3_warc",
-    """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-       q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
+    r"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, trim(url) AS url FROM pages),
+       q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN length(url) > 0 THEN regexp_replace(url, '[\x00-\x20\x7F]', '%20', 'g') END AS uri,
                     strlen(html) >= 1000 AND max(page_id) OVER (PARTITION BY html) IS DISTINCT FROM page_id AS again,
                     max(page_id) OVER (PARTITION BY html) AS keeper FROM p)
        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
-              CASE WHEN again THEN keeper END AS refers_to FROM q""",
+              CASE WHEN again THEN keeper END AS refers_to, uri AS request_uri, payload_bytes AS fetched_bytes, 1::BIGINT AS n_metadata FROM q""",
 )
 def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
-    return captures(read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # The archives are parsed once; of the bodies the result needs those of metadata records only.
+    records = read(spark, path).withColumn("payload", F.when(F.col("record_type") == "metadata", F.col("payload")))
+    found = facts(captures(stage(records, "records")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "request_uri", "fetched_bytes", "n_metadata")
