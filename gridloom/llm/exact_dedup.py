@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.llm.registry import query, table
+from gridloom.llm.rows import is_plain, plain
 from gridloom.session import stage
 
 SALTS = 32
@@ -66,11 +67,20 @@ def decisions(docs: DataFrame, text: str = "text", key: str = "doc_id", salts: i
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", salts: int = SALTS) -> DataFrame:
     """One row of ``docs`` for each text, with all its columns."""
-    carried = F.struct(F.col(f"`{key}`").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row"))
+    others = [c for c in docs.columns if c != text]
+    carried = F.struct(F.col(f"`{key}`").alias("key"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))
     # A null text is kept as it was unless an empty one wins.
-    rows = _rows(docs, text, key, salts, carried.alias("best"), F.col(f"`{text}`").isNull().alias("absent"))
-    rows = rows.withColumn("best", F.struct("best", "absent"))
-    won = _winners(rows, {"best": F.max("best")}, {"best": F.max("best")})
+    absent = F.col(f"`{text}`").isNull()
+    if all(is_plain(docs, c) for c in others):
+        rows = _rows(docs, text, key, salts, carried.alias("best"), absent.alias("absent"))
+        rows = rows.withColumn("best", F.struct("best", "absent"))
+        won = _winners(rows, {"best": F.max("best")}, {"best": F.max("best")})
+    else:
+        # A column without an order takes part in ties as JSON.
+        order = F.struct(F.col(f"`{key}`"), *plain(docs, others), absent)
+        rows = _rows(docs, text, key, salts, F.struct(carried.alias("best"), absent.alias("absent")).alias("best"), order.alias("order"))
+        first = {"best": F.max_by("best", "order"), "order": F.max("order")}
+        won = _winners(rows, first, first)
     back = [
         F.when(~F.col("best.absent"), F.col("text")).alias(text) if c == text else F.col(f"best.best.row.`{c}`").alias(c)
         for c in docs.columns

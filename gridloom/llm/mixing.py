@@ -26,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridloom.llm.registry import query, table
+from gridloom.llm.rows import row_hash
 from gridloom.session import stage
 
 WEIGHTS = (1, 2, 3)
@@ -141,10 +142,10 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     chosen = chosen.groupBy(_name(F.col("key"), F.col("source"), F.col("digest")).alias("of")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     digest = F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"))
     name = _name(F.col(f"`{key}`"), F.col(f"`{source}`").cast("string"), digest)
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), name.alias("name"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), name.alias("name"), row_hash(docs).alias("tie"))
     taken = held.join(chosen, F.col("name") == F.col("of"))
     if not chosen.where("rows > 1").isEmpty():
-        taken = taken.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy(F.xxhash64("row"))))
+        taken = taken.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("tie")))
     else:
         taken = taken.withColumn("place", F.lit(1))
     again = F.floor(F.col("copies") / F.col("rows")) + (F.col("place") <= F.col("copies") % F.col("rows")).cast("long")

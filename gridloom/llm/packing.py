@@ -196,11 +196,11 @@ def position_ids(resets: list[int], n_tokens: int, row_tokens: int = ROW_TOKENS)
     return out
 
 
-def unpack(rows) -> dict:
-    """Ids of every document (without its end token) from collected packed rows; keys must be unique."""
+def unpack(rows, row_tokens: int = ROW_TOKENS) -> dict:
+    """Ids of every document (without its end token) from collected packed rows of ``row_tokens``; keys must be unique."""
     parts: dict = {}
     for r in rows:
-        ids = matrix([bytes(r["ids"])], len(r["ids"]) // 2)[0]
+        ids = matrix([bytes(r["ids"])], row_tokens)[0]
         for doc, offset, a, b in zip(r["doc_ids"], r["doc_offsets"], r["cu_seqlens"][:-1], r["cu_seqlens"][1:], strict=True):
             parts.setdefault(doc, {})[offset] = ids[a:b]
     return {doc: np.concatenate([p[o] for o in sorted(p)])[:-1].tolist() for doc, p in parts.items()}

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from gridloom.llm.bytetext import BYTE_VALUE, mix, powers, text_slices
 from gridloom.llm.registry import query, table
+from gridloom.llm.rows import row_hash
 
 TOKENIZERS = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
@@ -436,8 +437,7 @@ def encode(
     schema = T.StructType([*held.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
     doc = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
     if copies:
-        row = F.xxhash64(*(F.col(f"`{c}`") for c in held.columns))
-        doc = F.xxhash64(doc, F.row_number().over(Window.partitionBy(doc).orderBy(row)))
+        doc = F.xxhash64(doc, F.row_number().over(Window.partitionBy(doc).orderBy(row_hash(held))))
     held = held.select("*", doc.alias("doc" + "_" * max(map(len, held.columns))))
 
     def run(batches):

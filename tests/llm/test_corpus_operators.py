@@ -219,7 +219,7 @@ def test_archives_round_trip(spark, tmp_path):
 
 def test_archive_query(spark, sf_dir):
     found = {tuple(r) for r in QUERIES["op3_warc"](spark, sf_dir).collect()}
-    assert found == set(duck(sf_dir).execute(f"SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM ({SQL['op3_warc']})").fetchall())
+    assert found == set(duck(sf_dir).execute(f"SELECT page_id, payload_bytes, payload_digest, record_type, refers_to, request_uri, fetched_bytes, n_metadata FROM ({SQL['op3_warc']})").fetchall())
 
 
 def naive_best_fit(lengths, size):
@@ -250,7 +250,7 @@ def test_packing_round_trip(messy):
     ranks, pattern = packing.load_ranks(packing.TOKENIZERS, packing.VOCABULARY)
     coder = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     texts = {r.doc_id: r.text or "" for r in messy.collect() if r.doc_id is not None}
-    assert {d: coder.decode(i) for d, i in packing.unpack(rows).items()} == texts
+    assert {d: coder.decode(i) for d, i in packing.unpack(rows, 64).items()} == texts
     assert len({r.pack_id for r in rows}) == len(rows) and packing.matrix([bytes(r.ids) for r in rows], 64).shape == (len(rows), 64)
     assert packing.position_ids([0, 3], 5, 8).tolist() == [0, 1, 2, 0, 1, 0, 0, 0]
     assert packing.pack_documents(messy.limit(0)).count() == 0
