@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from gridloom.operators.normalize import Stats
 from gridloom.schema import CELL_KEYS, LAT, LON, TIME, assert_grid, with_cell_keys
+from gridloom.session import Files
 from gridloom.sources.grids import month_index
 
 MOMENTS = T.StructType(
@@ -79,11 +80,9 @@ class ClimatologyStore:
 
     def remove(self, months: Sequence[int]) -> None:
         """Forget months."""
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files = Files(self.spark)
         for month in months:
-            files.delete(jvm.org.apache.hadoop.fs.Path(folder, f"part_idx={int(month)}"), True)
+            files.delete(f"{self.path}/part_idx={int(month)}")
 
     def parts(self, months: Column | None = None) -> DataFrame:
         """Stored rows; a condition on ``part_idx`` prunes directories."""

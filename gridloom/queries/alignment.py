@@ -24,11 +24,6 @@ def reindex_coarse_to_fine(spark, sf):
     return rg.reindex(at_times(tb.grid_lr(spark, sf)), _noon_axes(spark, sf), ["t2m"])
 
 
-@query("densify_grid", with_ctes(_dense("hr_noon"), "hr_noon", **axes_ctes("hr_noon")))
-def densify_grid(spark, sf):
-    return rg.densify(hold(at_times(tb.grid_hr(spark, sf))), ["t2m"])
-
-
 @query("densify_grid_whole", with_ctes(_dense("grid_hr"), "grid_hr", **axes_ctes("grid_hr")))
 def densify_grid_whole(spark, sf):
     """All timesteps of the grid."""
@@ -114,21 +109,6 @@ def regrid_nearest(spark, sf):
     return rg.regrid(tb.grid_lr(spark, sf), _noon_axes(spark, sf), ["t2m"], method="nearest")
 
 
-@query(
-    "gap_fill_along_longitude",
-    with_ctes(
-        f"""SELECT d.time, d.latitude, o.longitude, {r6('p.v')} AS t2m FROM
-            (SELECT DISTINCT time, latitude FROM hr_noon) d CROSS JOIN ax_lon o LEFT JOIN rg_p1 p
-            ON p.time = d.time AND p.latitude = d.latitude AND p.longitude = o.longitude""",
-        "hr_noon",
-        **axes_ctes("hr_noon"),
-        **{k: v for k, v in regrid_ctes("hr_noon", "ax_lat", "ax_lon").items() if k in ("rg_on", "rg_k1", "rg_p1")},
-    ),
-)
-def gap_fill_along_longitude(spark, sf):
-    return rg.interpolate_gaps(hold(at_times(tb.grid_hr(spark, sf))), "longitude", "t2m")
-
-
 @query(
     "gap_fill_along_longitude_whole",
     with_ctes(

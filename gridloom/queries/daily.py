@@ -7,7 +7,7 @@ from gridloom.operators.evaluate import metrics
 from gridloom.operators.regrid import regrid
 from gridloom.operators.split import label_splits
 from gridloom.queries.evaluation import _METRICS
-from gridloom.queries.raster import KERNEL, _taps
+from gridloom.queries.raster import _FULL, KERNEL, _taps
 from gridloom.queries.registry import axes_ctes, hold, query, r6, regrid_ctes, split_ctes, with_ctes
 from gridloom.sources import tables as tb
 
@@ -60,16 +60,16 @@ def daily_regrid_metrics(spark, sf):
 @query(
     "daily_focal",
     with_ctes(
-        f"""SELECT a.time, a.latitude, a.longitude, {r6('sum(k.w * b.t2m)')} AS focal FROM pos a CROSS JOIN taps k
-            JOIN pos b ON b.time = a.time AND b.y = a.y + k.dy AND b.x = a.x + k.dx GROUP BY 1, 2, 3""",
+        f"""SELECT a.time, a.latitude, a.longitude, CASE WHEN count(b.t2m) = count(*) THEN {r6('sum(k.w * b.t2m)')} END AS focal FROM pos a CROSS JOIN taps k
+            JOIN full_grid b ON b.time = a.time AND b.y = a.y + k.dy AND b.x = a.x + k.dx GROUP BY 1, 2, 3""",
         "daily_hr",
-        pos="""SELECT time, latitude, longitude, t2m, dense_rank() OVER (ORDER BY latitude) - 1 AS y,
-            dense_rank() OVER (ORDER BY longitude) - 1 AS x FROM daily_hr""",
+        **{k: v.replace("grid_hr", "daily_hr") for k, v in _FULL.items()},
         taps=_taps(KERNEL, 1),
     ),
 )
 def daily_focal(spark, sf):
-    return ra.convolve(hold(tb.daily_hr(spark, sf)), {"t2m": KERNEL}, on_missing="zero")
+    """NULL where a neighbour inside the grid is absent, as most are on days with few cells."""
+    return ra.convolve(hold(tb.daily_hr(spark, sf)), {"t2m": KERNEL})
 
 
 @query(

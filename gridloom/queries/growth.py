@@ -7,6 +7,7 @@ from gridloom.queries.registry import query, r6, with_ctes
 from gridloom.session import scratch_path
 from gridloom.sources import tables as tb
 from gridloom.sources.grids import month_index
+from gridloom.sources.snapshots import SnapshotTable
 from gridloom.streaming import land_latest_months
 
 _MONTH = "((extract(year FROM time) * 12 + extract(month FROM time)) - (2006 * 12 + 1))"
@@ -66,3 +67,16 @@ def climatology_without_months(spark, sf):
     store.land(tb.grid_hr(spark, sf), ["t2m"])
     store.remove([-129, -100])
     return store.scalars(["t2m"])
+
+
+@query(
+    "snapshot_overwrite",
+    with_ctes(f"SELECT time, latitude, longitude, {r6('CASE WHEN t2m > 270 THEN t2m - 1 ELSE t2m END')} AS t2m FROM grid_hr", "grid_hr"),
+)
+def snapshot_overwrite(spark, sf):
+    """A dataset overwritten from itself, then cleaned up."""
+    table = SnapshotTable(spark, scratch_path(spark, "snapshots"))
+    table.write(tb.grid_hr(spark, sf))
+    table.write(table.read().withColumn("t2m", F.expr("CASE WHEN t2m > 270 THEN t2m - 1 ELSE t2m END")))
+    table.clean(keep=1)
+    return table.read()

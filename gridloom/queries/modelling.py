@@ -119,18 +119,6 @@ def global_huber_model(spark, sf):
     return md.GlobalLinear.fit(samples, ["t2m", "lsm", "orog"], loss="huber").coefficients(spark)
 
 
-@query(
-    "tile_scorer",
-    with_ctes(
-        f"""SELECT time, latitude, longitude, {r6('t2m - max(t2m) OVER (PARTITION BY time)')} AS t2m FROM hr_noon""",
-        "hr_noon",
-    ),
-)
-def tile_scorer(spark, sf):
-    """A spatial scorer: departure of every cell from the warmest one of its timestep."""
-    return score_tiles(at_times(tb.grid_hr(spark, sf)), lambda tile: tile["t2m"] - tile["t2m"].max(), ["t2m"], size=None)
-
-
 @query(
     "tile_scorer_whole",
     with_ctes(
@@ -167,14 +155,6 @@ def tile_scorer_with_halo(spark, sf):
     return score_tiles(hold(tb.grid_hr(spark, sf)), _above_neighbours, ["t2m"], size=4, halo=1)
 
 
-@query(
-    "row_scorer",
-    with_ctes(f"SELECT time, latitude, longitude, {r6('0.5e0 * t2m + 140')} AS t2m FROM hr_noon", "hr_noon"),
-)
-def row_scorer(spark, sf):
-    return score_rows(at_times(tb.grid_hr(spark, sf)), lambda rows: 0.5 * rows["t2m"] + 140, ["t2m"])
-
-
 @query(
     "row_scorer_whole",
     with_ctes(f"SELECT time, latitude, longitude, {r6('0.5e0 * t2m + 140')} AS t2m FROM grid_hr", "grid_hr"),

@@ -162,11 +162,6 @@ _TILE_SQL = """SELECT t.time, a.i AS row, o.i AS col, {v} AS value
     LEFT JOIN hr_noon h ON h.time = t.time AND h.latitude = a.latitude AND h.longitude = o.longitude"""
 
 
-@query("tile_layout", with_ctes(_TILE_SQL.format(v=r6("h.t2m")), "hr_noon", **axes_ctes("hr_noon")))
-def tile_layout(spark, sf):
-    return tile_cells(to_tiles(hold(sel.at_times(tb.grid_hr(spark, sf))), ["t2m"]))
-
-
 @query(
     "tile_layout_whole", with_ctes(_TILE_SQL.format(v=r6("h.t2m")).replace("hr_noon", "grid_hr"), "grid_hr", **axes_ctes("grid_hr"))
 )
@@ -192,22 +187,6 @@ def tile_round_trip_small_tiles(spark, sf):
     return from_tiles(to_tiles(grid, ["t2m"], axes, size=5), axes, size=5)
 
 
-@query(
-    "tile_round_trip",
-    with_ctes(
-        f"""SELECT t.time, a.latitude, o.longitude, {r6('h.t2m')} AS t2m
-            FROM (SELECT DISTINCT time FROM hr_noon) t CROSS JOIN ax_lat a CROSS JOIN ax_lon o
-            LEFT JOIN hr_noon h ON h.time = t.time AND h.latitude = a.latitude AND h.longitude = o.longitude""",
-        "hr_noon",
-        **axes_ctes("hr_noon"),
-    ),
-)
-def tile_round_trip(spark, sf):
-    noon = hold(sel.at_times(tb.grid_hr(spark, sf)))
-    axes = ax.GridAxes.of(noon)
-    return from_tiles(to_tiles(noon, ["t2m"], axes), axes)
-
-
 @query(
     "tile_round_trip_whole",
     with_ctes(
@@ -276,22 +255,9 @@ def sorted_axes(spark, sf):
     return sel.sort_axes(tb.grid_lr(spark, sf))
 
 
-@query("north_up_order", with_ctes(f"SELECT {CELLS} FROM lr_noon ORDER BY time, latitude DESC, longitude", "lr_noon"))
+@query("north_up_order", with_ctes(f"SELECT {CELLS} FROM grid_lr ORDER BY time, latitude DESC, longitude", "grid_lr"))
 def north_up_order(spark, sf):
-    return sel.sort_axes(sel.at_times(tb.grid_lr(spark, sf)), north_up=True)
-
-
-@query(
-    "concat_along_time",
-    with_ctes(
-        f"""SELECT {CELLS} FROM grid_hr WHERE extract(hour FROM time) = 6 UNION ALL SELECT {CELLS} FROM grid_hr
-            WHERE extract(hour FROM time) <= 12""",
-        "grid_hr",
-    ),
-)
-def concat_along_time(spark, sf):
-    grid = tb.grid_hr(spark, sf)
-    return sel.concat_times(grid.where(F.hour("time") == 6), grid.where(F.hour("time") <= 12))
+    return sel.sort_axes(tb.grid_lr(spark, sf), north_up=True)
 
 
 @query(

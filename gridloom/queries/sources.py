@@ -42,9 +42,9 @@ def mixed_file_concat(spark, sf):
 
 
 def _catalog(spark, sf):
-    """File names of the months that the fine and the coarse grid cover."""
+    """File names of the months that the daily fine grid and the quarterly coarse one cover."""
     parts = []
-    for product, grid in (("cerra", tb.grid_hr(spark, sf)), ("era5", tb.grid_lr(spark, sf).where("t2m > 281"))):
+    for product, grid in (("cerra", tb.daily_hr(spark, sf)), ("era5", tb.grid_lr(spark, sf))):
         month = grid.select(F.date_format("time", "yyyyMM").alias("m")).distinct()
         name = F.concat(F.lit(f"t2m_{product}_"), "m", F.lit(f"_{cat.RESOLUTION_CODE[product]}deg.parquet"))
         parts.append(month.select(name.alias("url")))
@@ -53,15 +53,15 @@ def _catalog(spark, sf):
 
 _CATALOG = {
     "files": """SELECT DISTINCT 'cerra' AS product, strftime(time, '%Y%m') AS yyyymm, 0.05e0 AS resolution,
-          't2m_cerra_' || strftime(time, '%Y%m') || '_005deg.parquet' AS url FROM grid_hr
+          't2m_cerra_' || strftime(time, '%Y%m') || '_005deg.parquet' AS url FROM daily_hr
         UNION ALL SELECT DISTINCT 'era5', strftime(time, '%Y%m'), 0.25e0,
-          't2m_era5_' || strftime(time, '%Y%m') || '_025deg.parquet' FROM grid_lr WHERE t2m > 281"""
+          't2m_era5_' || strftime(time, '%Y%m') || '_025deg.parquet' FROM grid_lr"""
 }
 
 
 @query(
     "catalog_parse",
-    with_ctes("SELECT product, 't2m' AS kind, yyyymm, resolution, url FROM files", "grid_hr", "grid_lr", **_CATALOG),
+    with_ctes("SELECT product, 't2m' AS kind, yyyymm, resolution, url FROM files", "daily_hr", "grid_lr", **_CATALOG),
 )
 def catalog_parse(spark, sf):
     return _catalog(spark, sf)
@@ -72,7 +72,7 @@ def catalog_parse(spark, sf):
     with_ctes(
         """SELECT product, 't2m' AS kind, yyyymm, resolution, url, row_number() OVER (PARTITION BY product ORDER BY yyyymm) - 1
            AS part_idx FROM files WHERE yyyymm IN ('199604', '199607', '199704', '199707')""",
-        "grid_hr",
+        "daily_hr",
         "grid_lr",
         **_CATALOG,
     ),
@@ -88,7 +88,7 @@ def catalog_month_subset(spark, sf):
              SELECT product, unnest(generate_series(min(strptime(yyyymm, '%Y%m')), max(strptime(yyyymm, '%Y%m')),
                     INTERVAL '1' MONTH)) AS m FROM files GROUP BY product)
            WHERE (product, strftime(m, '%Y%m')) NOT IN (SELECT (product, yyyymm) FROM files)""",
-        "grid_hr",
+        "daily_hr",
         "grid_lr",
         **_CATALOG,
     ),

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -46,8 +49,68 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/gridloom"
 
 
+#: Folder of the current run below the scratch root.
+_RUN: ContextVar[str] = ContextVar("run", default="")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}{_RUN.get()}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """Staged tables of the block go to one folder, which is deleted when the block ends.
+
+    Results that outlive the block must be written or collected inside it.
+    """
+    run = f"{_RUN.get()}/run-{uuid.uuid4().hex}"
+    folder = f"{scratch_root(spark)}{run}"
+    token = _RUN.set(run)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        Files(spark).delete(folder)
+
+
+class Files:
+    """The few file operations that DataFrames lack, on any store Spark can reach."""
+
+    def __init__(self, spark: SparkSession):
+        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        where = self._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self._conf)
+
+    def names(self, folder: str) -> list[str]:
+        """Names of what a folder holds, none if it does not exist."""
+        where, files = self._at(folder)
+        return sorted(f.getPath().getName() for f in files.listStatus(where)) if files.exists(where) else []
+
+    def text(self, path: str) -> str:
+        where, files = self._at(path)
+        stream = files.open(where)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def create_once(self, path: str, text: str) -> bool:
+        """Put a small file in place by one rename, unless it is there already."""
+        where, files = self._at(path)
+        draft = self._jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{where.getName()}-{uuid.uuid4().hex}")
+        stream = files.create(draft)
+        stream.write(text.encode())
+        stream.close()
+        if not files.exists(where) and files.rename(draft, where) and self.text(path) == text:
+            return True
+        files.delete(draft, False)
+        return False
+
+    def delete(self, path: str) -> None:
+        where, files = self._at(path)
+        files.delete(where, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
