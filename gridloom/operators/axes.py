@@ -144,7 +144,7 @@ def dense_index(
     local = F.row_number().over(Window.partitionBy(*within, "_bucket").orderBy("_order"))
     return (
         rows.withColumn("_local", local)
-        .join(F.broadcast(offsets), [*within, "_bucket"])
+        .join(offsets, [*within, "_bucket"])
         .withColumn(name, F.col("_local") - 1 + F.col("_offset"))
         .drop("_bucket", "_order", "_local", "_offset")
     )
