@@ -231,10 +231,11 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, p
     spare = stage(spare.distinct().join(classes.select(F.col("first").alias("key")), "key", "left_anti"), "copies")
     keys = given.join(spare, "key", "left_anti").mapInArrow(_keys_of(k, percent), "block long, node long, spare int")
 
-    # A block that holds one set only is done; the others name their two hubs.
-    whole = Window.partitionBy("block")
-    blocks = keys.select("*", F.min("node").over(whole).alias("lo"), F.max("node").over(whole).alias("hi"), F.count("*").over(whole).alias("members"))
-    blocks = stage(blocks.where("lo < hi"), "blocks")
+    # A block that holds one set only is done; the others name their two hubs.  A hot block is
+    # counted by partial aggregates, and its rows are joined back where AQE may split them.
+    keys = stage(keys, "keys")
+    groups = keys.groupBy("block").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("members"))
+    blocks = stage(keys.join(groups.where("lo < hi"), "block"), "blocks")
     # Every set leaves out its most shared blocks, as many as it can spare.
     rarest_last = Window.partitionBy("node", "spare").orderBy(F.col("members").desc(), "block")
     shared = blocks.withColumn("place", F.row_number().over(rarest_last)).where(F.col("place") > F.shiftright("spare", 1))
@@ -251,14 +252,16 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, p
         """Sets of the blocks that hold more than one component so far."""
         joined = components(links)
         placed = shared.select("block", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        placed = placed.select("*", F.min("root").over(whole).alias("lo"), F.max("root").over(whole).alias("hi")).where("lo < hi").drop("lo", "hi")
-        return stage(placed, "open")
+        placed = stage(placed, "placed")
+        apart = placed.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("block")
+        return stage(placed.join(apart, "block", "left_semi"), "open")
 
     # Other hubs connect most of what is left of a large group, a few rows for each set.
     for turn in range(HUB_ROUNDS):
         drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")
-        hubs = open_sets(links).select("node", "root", F.array(F.min(drawn).over(whole), F.max(drawn).over(whole)).alias("hubs"))
-        pairs = hubs.select("node", "root", F.explode("hubs").alias("hub")).where("hub.root <> root")
+        opened = open_sets(links)
+        hubs = opened.groupBy("block").agg(F.array(F.min(drawn), F.max(drawn)).alias("hubs"))
+        pairs = opened.join(hubs, "block").select("node", "root", F.explode("hubs").alias("hub")).where("hub.root <> root")
         pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_close("a", "b", percent)).select("a", "b")
         links = links.union(_verified(pairs, given, classes, k, percent))
