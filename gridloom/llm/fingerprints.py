@@ -6,7 +6,7 @@ sequence as its one shingle.  Sketches of parts merge into the sketch of the who
 them estimate resemblance, containment and the number of distinct shingles.  Everything is
 column expressions: no Python touches a row.
 
-Defined results: a null or empty text, or one of spaces only, has the empty sketch.  Two empty
+Keys are numbers.  Defined results: a null or empty text, or one of spaces only, has the empty sketch.  Two empty
 sketches resemble each other fully (1), an empty and a filled one not at all (0).  Sketches with
 fewer than ``k`` hashes are the whole shingle set, so their figures are exact.
 """
@@ -23,6 +23,7 @@ WIDTH = 5
 BITS = 48
 RANGE_ROWS = 4096
 RANGES = 1024
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
 def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
@@ -100,24 +101,35 @@ def decode(text: Column) -> Column:
     )
 
 
-def in_ranges(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` with (range, part): stretches of ascending ``key`` of about RANGE_ROWS rows.
+def in_ranges(rows: DataFrame, key: str, tie: str) -> DataFrame:
+    """``rows`` with (range, slot, part): stretches of ascending (``key``, ``tie``) of about RANGE_ROWS rows.
 
-    Keys are cut at quantiles, and each stretch between two of them evenly; null keys are in the
-    first.  Only the cuts (at most RANGES) come to the driver.
+    Keys are cut at quantiles, and each stretch between two of them evenly.  Null keys are the first
+    range.  A key that many rows have is a quantile, so the rows at a cut, and those without a key, are
+    counted and cut again by ``tie``, a 64-bit hash: these slots come before the rest of the range.
+    Rows with the same key and tie stay together.  Only the cuts (at most RANGES) come to the driver.
     """
+    if dict(rows.dtypes)[key].split("(")[0] not in NUMBERS:
+        raise ValueError(f"{key} must be a number to be cut into ranges")
     marks = [i / RANGES for i in range(RANGES)]
     facts = rows.agg(F.count("*").alias("n"), F.max(key).alias("top"), F.percentile_approx(key, marks, 10 * RANGES).alias("cuts")).first()
-    if not facts["cuts"]:
-        return rows.withColumn("range", F.lit(0)).withColumn("part", F.lit(0).cast("long"))
     wanted = max(1, min(RANGES, facts["n"] // RANGE_ROWS))
-    cuts = sorted({facts["cuts"][i * RANGES // wanted] for i in range(wanted)})
+    cuts = sorted({facts["cuts"][i * RANGES // wanted] for i in range(wanted)}) if facts["cuts"] else []
     finer = max(1, facts["n"] // (RANGE_ROWS * wanted))
-    bounds = F.array(*(F.lit(c) for c in cuts))
-    span = F.array(*(F.lit(float(b - a + 1)) for a, b in zip(cuts, [*cuts[1:], facts["top"]], strict=True)))
-    out = rows.withColumn("range", F.size(F.filter(bounds, lambda b: b <= F.col(key))))
-    within = F.floor((F.col(key) - F.get(bounds, F.col("range") - 1)) / F.get(span, F.col("range") - 1) * finer)
-    return out.withColumn("part", F.coalesce(F.least(within, F.lit(finer - 1)), F.lit(0)).cast("long"))
+    at_cut = F.col(key).isNull() | F.col(key).isin(cuts)
+    often = {r[0]: r[1] // RANGE_ROWS + 1 for r in rows.where(at_cut).groupBy(key).agg(F.count("*")).toLocalIterator()}
+    # Range 0 holds the rows without a key, range i those from the i-th cut on.
+    bounds = F.array(*(F.lit(c) for c in cuts)).cast(f"array<{dict(rows.dtypes)[key]}>")
+    out = rows.withColumn("range", F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col(key)))))
+    slots = F.get(F.array(*(F.lit(often.get(c, 1)) for c in [None, *cuts])), F.col("range"))
+    start, nth = F.get(bounds, F.col("range") - 1), F.col("range") - 1
+    # 2^64 ties in equal stretches, lowest first.
+    slot = F.least(slots - 1, F.floor((F.col(tie).cast("double") / 2.0**64 + 0.5) * slots))
+    out = out.withColumn("slot", F.when(F.coalesce(F.col(key) == start, F.lit(True)), slot).otherwise(slots).cast("long"))
+    span = F.array(*(F.lit(float(b - a + 1)) for a, b in zip(cuts, [*cuts[1:], facts["top"]], strict=False))).cast("array<double>")
+    within = F.floor((F.col(key) - start) / F.get(span, nth) * finer)
+    part = F.when(F.col("slot") == slots, F.least(within, F.lit(finer - 1)))
+    return out.withColumn("part", F.coalesce(part, F.lit(0)).cast("long"))
 
 
 def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K, width: int = WIDTH) -> DataFrame:
@@ -129,21 +141,21 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int =
     come first; rows with the same key are in the order of their texts' hashes.
     """
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    rows = in_ranges(rows.withColumn("tie", F.xxhash64("text")), "key")
-    heads = rows.groupBy("range", "part").agg(F.min(F.struct("key", "tie")).alias("head"))
-    line = Window.orderBy("range", "part")
-    around = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = in_ranges(rows.withColumn("tie", F.xxhash64("text")), "key", "tie")
+    heads = rows.groupBy("range", "slot", "part").agg(F.min(F.struct("key", "tie")).alias("head"))
+    line = Window.orderBy("range", "slot", "part")
+    around = Window.orderBy("range", "slot", "part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = stage(
-        heads.select("range", "part", F.coalesce(F.lead("head").over(line), F.first("head").over(around)).alias("head")), "heads"
+        heads.select("range", "slot", "part", F.coalesce(F.lead("head").over(line), F.first("head").over(around)).alias("head")), "heads"
     )
-    wanted = broadcast_if_small(heads.select(F.col("head.key").alias("k"), F.col("head.tie").alias("t"), F.col("range").alias("r"), F.col("part").alias("p")), heads.count())
+    wanted = broadcast_if_small(heads.select(F.col("head.key").alias("k"), F.col("head.tie").alias("t"), F.col("range").alias("r"), F.col("slot").alias("s"), F.col("part").alias("p")), heads.count())
     border = rows.join(wanted, F.col("key").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t")))
-    border = border.groupBy("r", "p").agg(F.first("text").alias("border_text"))
+    border = border.groupBy("r", "s", "p").agg(F.first("text").alias("border_text"))
     border = border.withColumn("border_sketch", sketch(F.col("border_text"), k, width))
-    here = Window.partitionBy("range", "part").orderBy(F.col("key").asc_nulls_first(), "tie")
+    here = Window.partitionBy("range", "slot", "part").orderBy(F.col("key").asc_nulls_first(), "tie")
     out = rows.withColumn("next_text", F.lead("text").over(here)).withColumn("sketch", sketch(F.col("text"), k, width))
     out = out.withColumn("next_sketch", F.lead("sketch").over(here))
-    out = out.join(border, (F.col("range") == F.col("r")) & (F.col("part") == F.col("p")), "left")
+    out = out.join(border, (F.col("range") == F.col("r")) & (F.col("slot") == F.col("s")) & (F.col("part") == F.col("p")), "left")
     last = F.col("next_text").isNull()
     return out.select(
         "key", "text", "sketch",
