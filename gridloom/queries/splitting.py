@@ -4,8 +4,11 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import split as sp
 from gridloom.operators.align import pair_features
+from gridloom.operators.axes import GridAxes
 from gridloom.queries.registry import hold, query, r6, split_ctes, with_ctes
+from gridloom.session import scratch_path
 from gridloom.sources import tables as tb
+from gridloom.sources.shards import BatchShards
 
 _LABEL = """CASE WHEN g.time < c.first_val THEN 'train' WHEN g.time < c.first_test THEN 'val' ELSE 'test' END"""
 
@@ -123,3 +126,23 @@ def batch_sample_rows(spark, sf):
     samples = pair_features(coarse, fine, ["t2m"], "label")
     rows = sp.batch_rows(samples, batches)
     return rows.select("batch_id", "time", "latitude", "longitude", "t2m", "label")
+
+
+@query(
+    "batch_shards",
+    with_ctes(
+        f"""SELECT b.i // 16 AS batch_id, b.i AS position, l.time, l.latitude, l.longitude, {r6('l.t2m')} AS t2m, {r6('h.t2m')} AS label
+            FROM grid_lr l JOIN grid_hr h ON l.time = h.time AND l.latitude = h.latitude AND l.longitude = h.longitude
+            JOIN (SELECT time, row_number() OVER (ORDER BY time) - 1 AS i FROM
+                  (SELECT DISTINCT l.time FROM grid_lr l JOIN grid_hr h
+                   ON l.time = h.time AND l.latitude = h.latitude AND l.longitude = h.longitude)) b ON b.time = l.time""",
+        "grid_lr",
+        "grid_hr",
+    ),
+)
+def batch_shards(spark, sf):
+    """Paired rows written as shards of 16 timesteps and read back."""
+    samples = hold(pair_features(hold(tb.grid_lr(spark, sf)), hold(tb.grid_hr(spark, sf)), ["t2m"], "label"))
+    axes, shards = GridAxes.of(samples), BatchShards(spark, scratch_path(spark, "shards"), size=4)
+    shards.write(samples, ["t2m", "label"], 16, shuffle=False, axes=axes)
+    return shards.cells(shards.read(0), ["t2m", "label"], axes)
