@@ -9,6 +9,7 @@ a single enormous timestep spreads over many tasks.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -63,11 +64,20 @@ def _scatter(
     ``cells`` has time, y, x, the weighted variables and the columns of ``keep``, which are
     taken from the cell that lands on its own position with dy = dx = 0.
     """
-    variables = list(taps[0][2])
-    band = lambda c: F.floor(c / BAND_ROWS).cast("int")
     reach = [stride * F.col("y") + dy for dy in (min(t[0] for t in taps), 0, max(t[0] for t in taps))]
-    rows = cells.withColumn("_band", F.explode(F.array_distinct(F.array(*map(band, reach)))))
-    rows = clustered(rows, TIME, "_band")
+    rows = cells.withColumn("_band", F.explode(F.array_distinct(F.array(*map(_band, reach)))))
+    return _spread(clustered(rows, TIME, "_band"), taps, stride, keep, 0).drop("_band")
+
+
+def _band(position: Column) -> Column:
+    return F.floor(position / BAND_ROWS).cast("int")
+
+
+def _spread(
+    rows: DataFrame, taps: list[tuple[int, int, dict[str, float]]], stride: int, keep: Sequence[str], margin: int
+) -> DataFrame:
+    """``_scatter`` inside bands that are in place: targets of each ``_band`` and of ``margin`` rows around it."""
+    variables = list(taps[0][2])
     weights = F.array(
         *[
             F.struct(
@@ -87,8 +97,9 @@ def _scatter(
     )
     found = sum((hit.cast("int") for hit in used.values()), F.lit(0))
     centre = (F.col("dy") == 0) & (F.col("dx") == 0)
+    first = F.col("_band") * BAND_ROWS
     return (
-        sent.where(band(F.col("_ty")) == F.col("_band"))
+        sent.where(F.col("_ty").between(first - margin, first + (BAND_ROWS - 1 + margin)))
         .groupBy(TIME, "_band", "_ty", "_tx")
         .agg(
             F.sum(part).alias("_sum"),
@@ -97,7 +108,6 @@ def _scatter(
             F.max(centre).alias("_own"),
             *[F.max(F.when(centre, F.col(k))).alias(k) for k in keep],
         )
-        .drop("_band")
     )
 
 
@@ -142,20 +152,58 @@ def convolve(
     inside the grid that a weight reaches is missing (NULL or absent), the result is NULL;
     ``on_missing='zero'`` counts it as zero, ``'renormalise'`` spreads its weight over the rest.
     """
+    return convolve_chain(grid, [Stencil(kernels, bias)], output, axes, on_missing)
+
+
+@dataclass(frozen=True)
+class Stencil:
+    """One 'same' convolution of a chain: a kernel by variable, a bias, what is done to the sum."""
+
+    kernels: Mapping[str, Kernel]
+    bias: float = 0.0
+    activation: str = "linear"
+
+    def taps(self) -> list[tuple[int, int, dict[str, float]]]:
+        first = next(iter(self.kernels.values()))
+        ry, rx = len(first) // 2, len(first[0]) // 2
+        return [
+            (ry - r, rx - c, {v: k[r][c] for v, k in self.kernels.items()})
+            for r in range(len(first))
+            for c in range(len(first[0]))
+        ]
+
+
+def convolve_chain(
+    grid: DataFrame,
+    steps: Sequence[Stencil],
+    output: str = "focal",
+    axes: GridAxes | None = None,
+    on_missing: str = "null",
+) -> DataFrame:
+    """Convolutions one after the other, as calls of ``convolve`` in a row, with one exchange of the cells.
+
+    Every step but the first has a kernel for ``output``, what the step before gave.  The halos of
+    the steps are added up and each band of rows gets so many rows around it at once; a step then works
+    on the band and the halos of the steps after it, and the last one on the band alone.  Rows of a halo
+    are computed once for each band they belong to.
+    """
+    if not steps or any(list(s.kernels) != [output] for s in steps[1:]):
+        raise ValueError(f"a chain needs steps, and those after the first one kernel, for {output!r}")
     axes = axes or GridAxes.of(grid)
-    first = next(iter(kernels.values()))
-    ry, rx = len(first) // 2, len(first[0]) // 2
-    taps = [
-        (ry - r, rx - c, {v: k[r][c] for v, k in kernels.items()})
-        for r in range(len(first))
-        for c in range(len(first[0]))
-    ]
+    taps = [s.taps() for s in steps]
+    halos = [max(abs(dy) for dy, _, _ in t) for t in taps]
     cells = axis_positions(grid, axes).select(
-        TIME, F.col("lat_idx").alias("y"), F.col("lon_idx").alias("x"), LAT, LON, *kernels
+        TIME, F.col("lat_idx").alias("y"), F.col("lon_idx").alias("x"), LAT, LON, *steps[0].kernels
     )
-    out = _scatter(cells, taps, 1, keep=(LAT, LON)).where(F.col("_own"))
-    value = _complete(F.col("_sum"), *_inside(axes, taps, 1), on_missing)
-    return out.select(TIME, LAT, LON, (value + bias).alias(output))
+    around = F.sequence(*(_band(F.col("y") + d) for d in (-sum(halos), sum(halos))))
+    rows = clustered(cells.withColumn("_band", F.explode(around)), TIME, "_band")
+    for n, (step, reached) in enumerate(zip(steps, taps, strict=True)):
+        out = _spread(rows, reached, 1, (LAT, LON), sum(halos[n + 1 :])).where(F.col("_own"))
+        value = _complete(F.col("_sum"), *_inside(axes, reached, 1), on_missing) + step.bias
+        rows = activate(
+            out.select(TIME, "_band", F.col("_ty").alias("y"), F.col("_tx").alias("x"), LAT, LON, value.alias(output)), output, step.activation
+        )
+    return rows.select(TIME, LAT, LON, output)
 
 
 def upsample(

@@ -118,3 +118,30 @@ def tanh_activation(spark, sf):
 )
 def focal_position_check(spark, sf):
     return axis_positions(_grid(spark, sf)).groupBy("lat_idx", "lon_idx").agg(F.count("*").alias("n"))
+
+
+_SMOOTH = [[0.0, 0.5, 0.0], [0.25, 1.0, -0.5], [0.0, 0.125, 0.0]]
+
+
+def _focal_sql(cells: str, kernel: str, bias: str) -> str:
+    """Sums over the present cells, absent ones as zero."""
+    return f"""SELECT a.time, a.y, a.x, a.latitude, a.longitude, sum(k.w * coalesce(b.t2m, 0)) + {bias} AS t2m FROM {cells} a CROSS JOIN {kernel} k
+        LEFT JOIN {cells} b ON b.time = a.time AND b.y = a.y + k.dy AND b.x = a.x + k.dx GROUP BY 1, 2, 3, 4, 5"""
+
+
+@query(
+    "focal_chain",
+    with_ctes(
+        f"SELECT time, latitude, longitude, {r6('t2m')} AS t2m FROM second",
+        "grid_hr",
+        **_POS,
+        taps=_taps(KERNEL, 1),
+        taps2=_taps(_SMOOTH, 1),
+        first=_focal_sql("pos", "taps", "0.5e0"),
+        second=_focal_sql("first", "taps2", "-2e0"),
+    ),
+)
+def focal_chain(spark, sf):
+    """Two neighbourhood sums in a row with one exchange of the cells."""
+    steps = [ra.Stencil({"t2m": KERNEL}, 0.5), ra.Stencil({"t2m": _SMOOTH}, -2.0)]
+    return ra.convolve_chain(_grid(spark, sf), steps, "t2m", on_missing="zero")
