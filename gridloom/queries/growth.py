@@ -1,5 +1,7 @@
 """Archives that grow: months published again, climatologies merged from stored moments."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from gridloom.operators.moments import ClimatologyStore
@@ -7,6 +9,7 @@ from gridloom.queries.registry import query, r6, with_ctes
 from gridloom.session import scratch_path
 from gridloom.sources import tables as tb
 from gridloom.sources.grids import month_index
+from gridloom.sources.regions import RegionArchive
 from gridloom.sources.snapshots import SnapshotTable
 from gridloom.streaming import land_latest_months
 
@@ -80,3 +83,46 @@ def snapshot_overwrite(spark, sf):
     table.write(table.read().withColumn("t2m", F.expr("CASE WHEN t2m > 270 THEN t2m - 1 ELSE t2m END")))
     table.clean(keep=1)
     return table.read()
+
+
+@query(
+    "region_archive_crop",
+    with_ctes(
+        f"""SELECT time, latitude, longitude, {r6('t2m')} AS t2m FROM daily_hr WHERE latitude BETWEEN 44.2e0 AND 44.6e0
+            AND longitude BETWEEN 8.3e0 AND 8.9e0 AND time BETWEEN TIMESTAMP '1994-03-01 00:00:00' AND TIMESTAMP '1996-12-31 23:00:00'""",
+        "daily_hr",
+    ),
+)
+def region_archive_crop(spark, sf):
+    """A box over some years, out of the files whose ranges touch it."""
+    archive = RegionArchive(spark, scratch_path(spark, "regions"), rows_a_file=2000)
+    archive.write(tb.daily_hr(spark, sf))
+    return archive.read((8.3, 44.2, 8.9, 44.6), datetime(1994, 3, 1), datetime(1996, 12, 31, 23))
+
+
+@query("region_archive_grown", with_ctes(f"SELECT time, latitude, longitude, {r6('t2m + 1')} AS t2m FROM grid_hr", "grid_hr"))
+def region_archive_grown(spark, sf):
+    """Every other month, then the rest beside it, then all of it rewritten from itself."""
+    archive = RegionArchive(spark, scratch_path(spark, "regions"), rows_a_file=5000)
+    grid, even = tb.grid_hr(spark, sf), month_index() % 2 == 0
+    archive.write(grid.where(even))
+    archive.write(grid.where(~even), append=True)
+    archive.write(archive.read().withColumn("t2m", F.col("t2m") + 1), staged=False)
+    return archive.read()
+
+
+@query(
+    "region_archive_ranges",
+    with_ctes(
+        """SELECT count(*) AS n, min(time) AS first, max(time) AS last, min(latitude) AS south, max(latitude) AS north,
+                  min(longitude) AS west, max(longitude) AS east FROM grid_hr""",
+        "grid_hr",
+    ),
+)
+def region_archive_ranges(spark, sf):
+    """Extent of an archive from its manifest alone."""
+    archive = RegionArchive(spark, scratch_path(spark, "regions"), rows_a_file=500)
+    archive.write(tb.grid_hr(spark, sf))
+    ends = [("time", "first", "last"), ("lat", "south", "north"), ("lon", "west", "east")]
+    spans = [f for name, low, high in ends for f in (F.min(f"{name}_min").alias(low), F.max(f"{name}_max").alias(high))]
+    return archive.manifest().agg(F.sum("n").alias("n"), *spans)

@@ -23,8 +23,15 @@ def read_months(
 
 
 def read_mixed(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet") -> DataFrame:
-    """Concatenate files with different variables; absent ones become NULL."""
-    parts = [spark.read.format(fmt).load(p) for p in paths]
+    """Concatenate files with different variables; absent ones become NULL.
+
+    Files of one schema are one scan, so the plan grows with the kinds of files, not with their number.
+    """
+    kinds: dict[str, tuple[StructType, list[str]]] = {}
+    for path in paths:
+        schema = spark.read.format(fmt).load(path).schema
+        kinds.setdefault(schema.json(), (schema, []))[1].append(path)
+    parts = [spark.read.schema(schema).format(fmt).load(same) for schema, same in kinds.values()]
     return _no_nan(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
 
 
