@@ -22,27 +22,38 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> bool:
+    """Every node has one link up or only links down: all components are stars around their least node."""
+    ends = [F.struct(F.col(c).alias("node"), F.lit(up).alias("up"), F.lit(1 - up).alias("down")) for c, up in (("a", 1), ("b", 0))]
+    nodes = edges.select(F.inline(F.array(*ends))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.agg(F.max((F.col("up") > F.lit(1) - F.col("down")).cast("int"))).first()[0]
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: long): root is the least node it is linked to.
 
     Each step sees every link once and joins by node, with the least neighbour found by partial
     aggregation; the number of steps grows with the logarithm of the longest chain.  Steps are
     written to the shared folder, so a lost executor repeats one step at most.
+
+    ``known`` is the result for earlier links: the steps then see only links between its components,
+    and its rows are renamed once.
     """
+    if known is not None:
+        of = lambda end: known.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        links = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        links = links.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = stage(edges, "links")
-    mark = _mark(edges)
-    while True:
+    if known is not None and edges.isEmpty():
+        return known
+    while not _settled(edges):
         edges = stage(_stars(_stars(edges, small=False), small=True), "links")
-        now = _mark(edges)
-        if now == mark:
-            break
-        mark = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
+    found = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
+    if known is None:
+        return found
+    moved = found.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    renamed = known.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stage(renamed.union(found.join(known, "node", "left_anti")), "roots")

@@ -196,6 +196,8 @@ def _close(a: str, b: str, percent: int) -> Column:
 def _verified(pairs: DataFrame, given: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose shingles reach the threshold; only the texts of these sets are read again."""
     pairs = stage(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     nodes = stage(nodes.join(classes.select("node", F.col("first").alias("key"), "mark"), "node"), "nodes")
     many = nodes.count()
@@ -213,11 +215,11 @@ def _verified(pairs: DataFrame, given: DataFrame, classes: DataFrame, k: int, pe
     return stage(found, "found")
 
 
-def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows (key, n, node) name the class of each document, links (a, b) join classes.
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, links, roots): rows (key, mark, n, node) name the class of each document, links (a, b) join classes.
 
     Links are those between different sets that the join had to look at: enough to connect
-    every component.
+    every component.  Roots (node, root) names the component of every linked class.
     """
     given = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     given = given.withColumn("mark", F.xxhash64("text"))
@@ -247,11 +249,11 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, p
     pairs = shared.select(F.explode(F.array(*ends)).alias("pair")).select("pair.a", "pair.b").where("a <> b").distinct()
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_close("a", "b", percent)).select("a", "b")
     links = _verified(pairs, given, classes, k, percent)
+    roots = components(links)
 
-    def open_sets(links: DataFrame) -> DataFrame:
+    def open_sets(roots: DataFrame) -> DataFrame:
         """Sets of the blocks that hold more than one component so far."""
-        joined = components(links)
-        placed = shared.select("block", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = shared.select("block", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = stage(placed, "placed")
         apart = placed.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("block")
         return stage(placed.join(apart, "block", "left_semi"), "open")
@@ -259,20 +261,24 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, p
     # Other hubs connect most of what is left of a large group, a few rows for each set.
     for turn in range(HUB_ROUNDS):
         drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")
-        opened = open_sets(links)
+        opened = open_sets(roots)
+        if opened.isEmpty():
+            return rows.drop("fold"), links, roots
         hubs = opened.groupBy("block").agg(F.array(F.min(drawn), F.max(drawn)).alias("hubs"))
         pairs = opened.join(hubs, "block").select("node", "root", F.explode("hubs").alias("hub")).where("hub.root <> root")
         pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_close("a", "b", percent)).select("a", "b")
-        links = links.union(_verified(pairs, given, classes, k, percent))
+        more = _verified(pairs, given, classes, k, percent)
+        links, roots = links.union(more), components(more, roots)
 
     # Sets of a block that are not connected yet meet each other.
-    placed = open_sets(links).join(about, "node")
+    placed = open_sets(roots).join(about, "node")
     a = placed.select("block", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "fold", "root")))
     b = placed.select("block", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "fold", "root")))
     apart = (a["block"] == b["block"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _close("a", "b", percent)
     pairs = a.join(b, apart).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    return rows.drop("fold"), links.union(_verified(pairs, given, classes, k, percent)).distinct()
+    more = _verified(pairs, given, classes, k, percent)
+    return rows.drop("fold"), links.union(more), components(more, roots)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
@@ -280,8 +286,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
 
     The row with the smallest key of its component stays; the marks decide between rows with that key.
     """
-    rows, links = join(docs, text, key, k, percent)
-    roots = components(links)
+    rows, _, roots = join(docs, text, key, k, percent)
     placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stage(placed.select("key", "mark", "n", "root"), "placed")
     # A struct with a null key sorts first: rows without one are looked at only where no row has one.
