@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ from gridloom.session import broadcast_if_small, stage
 
 _U = np.uint64
 HUB_ROUNDS = 2
+#: Block keys that are shuffled at once, and most slices of them: more keys make larger slices.
+SLICE_ROWS, SLICES = 16_000_000, 8
 #: Longs of the folded sketch, by set size below: two bits a shingle or more, up to 8192.
 FOLD = ((128, 4), (512, 16), (2048, 64), (1 << 62, 256))
 
@@ -215,6 +218,22 @@ def _verified(pairs: DataFrame, given: DataFrame, classes: DataFrame, k: int, pe
     return stage(found, "found")
 
 
+def _shared_blocks(keys: DataFrame) -> DataFrame:
+    """Keys of the blocks that several sets hold, with the two hubs and the number of members.
+
+    Most blocks hold one set and end here.  A hot block is counted by partial aggregates, and its rows
+    are joined back where AQE may split them.  Blocks are taken in slices, so that the two shuffles of
+    all keys never lie on disk at once.
+    """
+    slices = min(1 + keys.count() // SLICE_ROWS, SLICES)
+    found = []
+    for part in range(slices):
+        mine = keys.where(F.pmod("block", F.lit(slices)) == part) if slices > 1 else keys
+        groups = mine.groupBy("block").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("members"))
+        found.append(stage(mine.join(groups.where("lo < hi"), "block"), "blocks"))
+    return reduce(DataFrame.union, found)
+
+
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, links, roots): rows (key, mark, n, node) name the class of each document, links (a, b) join classes.
 
@@ -233,11 +252,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, p
     spare = stage(spare.distinct().join(classes.select(F.col("first").alias("key")), "key", "left_anti"), "copies")
     keys = given.join(spare, "key", "left_anti").mapInArrow(_keys_of(k, percent), "block long, node long, spare int")
 
-    # A block that holds one set only is done; the others name their two hubs.  A hot block is
-    # counted by partial aggregates, and its rows are joined back where AQE may split them.
-    keys = stage(keys, "keys")
-    groups = keys.groupBy("block").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("members"))
-    blocks = stage(keys.join(groups.where("lo < hi"), "block"), "blocks")
+    blocks = _shared_blocks(stage(keys, "keys"))
     # Every set leaves out its most shared blocks, as many as it can spare.
     rarest_last = Window.partitionBy("node", "spare").orderBy(F.col("members").desc(), "block")
     shared = blocks.withColumn("place", F.row_number().over(rarest_last)).where(F.col("place") > F.shiftright("spare", 1))

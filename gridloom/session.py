@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS_CONF = "spark.gridloom.broadcastMaxRows"
 BROADCAST_ROWS_DEFAULT = 2_000_000
+SHUFFLE_CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
@@ -117,14 +118,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to shared storage and read it back.
 
     Cuts the lineage in a way that survives lost executors, and gives the optimizer the real
-    size of the table.
+    size of the table.  Shuffle files of the write are of no use after it and are deleted at its end.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with _shuffles_deleted(spark):
+        # The setting counts when a DataFrame is made.
+        df.select("*").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Queries of the block delete their shuffle files when they end, not when the driver collects garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP_CONF, "false")
+    spark.conf.set(SHUFFLE_CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP_CONF, before)
+
+
 def clustered(df: DataFrame, *keys: str) -> DataFrame:
     """Shuffle by ``keys`` into exactly spark.sql.shuffle.partitions parts.
 
